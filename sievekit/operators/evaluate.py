@@ -121,16 +121,16 @@ def classification_report(pred: DataFrame, keys: Sequence[str] = ("run_id", "mod
 
     def wavg(a, b):
         return _div0(a * s0 + b * s1, n)
+    def row(name, p, r, f, s):
+        return F.struct(F.lit(name).alias("report_row"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1_score"),
+                        s.cast("long").alias("support"))
+    none = F.lit(None).cast("double")
     rows = F.array(
-        F.struct(F.lit("0").alias("report_row"), p0.alias("precision"), r0.alias("recall"),
-                 f1_0.alias("f1_score"), s0.cast("long").alias("support")),
-        F.struct(F.lit("1"), p1, r1, f1_1, s1.cast("long")),
-        F.struct(F.lit("accuracy"), F.lit(None).cast("double"), F.lit(None).cast("double"),
-                 acc, n.cast("long")),
-        F.struct(F.lit("macro avg"), (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2,
-                 n.cast("long")),
-        F.struct(F.lit("weighted avg"), wavg(p0, p1), wavg(r0, r1), wavg(f1_0, f1_1),
-                 n.cast("long")))
+        row("0", p0, r0, f1_0, s0), row("1", p1, r1, f1_1, s1),
+        row("accuracy", none, none, acc, n),
+        row("macro avg", (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n),
+        row("weighted avg", wavg(p0, p1), wavg(r0, r1), wavg(f1_0, f1_1), n))
     out = c.select(*keys, F.inline(rows))
     return out.withColumns({m: F.round(m, digits) for m in ("precision", "recall", "f1_score")})
 

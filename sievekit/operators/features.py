@@ -112,12 +112,17 @@ def assemble_features(tfidf: DataFrame, numeric: DataFrame,
 
 # -- F8 ------------------------------------------------------------------------------------
 
-def split_key(seed: int, id_col: str = "message_id"):
-    """First 32 bits of md5('<seed>:<id>') as a LONG (same in DuckDB)."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+def split_key_col(seed, id_col: str = "message_id"):
+    """First 32 bits of md5('<seed>:<id>') as a LONG (same in DuckDB);
+    ``seed`` may be a column (one key per run of a grid)."""
+    h = F.md5(F.concat(seed.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
+def split_key(seed: int, id_col: str = "message_id"):
+    return split_key_col(F.lit(seed), id_col)
+
+
 def test_key_limit(test_size: float) -> int:
     return int(test_size * (1 << KEY_BITS))
 

@@ -142,3 +142,38 @@ def assign_row_ids(df: DataFrame, order: Sequence[str], col: str = "id",
             .withColumn(col, (F.lit(start) + F.col("_off") + F.row_number().over(w) - 1)
                         .cast("long"))
             .drop("_pid", "_off"))
+
+
+# -- T15 relational form ---------------------------------------------------------------------
+
+def plural_lemma_table(df: DataFrame, tokens_col: str) -> DataFrame:
+    """A (form, lemma) table derived from the corpus itself: a token ending
+    in a single ``s`` (longer than 3 letters) maps to the same word without
+    the ``s`` when that word also occurs. Both sides are distinct token sets,
+    so the join key is unique per side (no skew)."""
+    vocab = df.select(F.explode(tokens_col).alias("tok")).distinct()
+    forms = (vocab.where((F.length("tok") > 3) & F.col("tok").endswith("s")
+                         & ~F.col("tok").endswith("ss"))
+             .withColumn("lemma", F.expr("substring(tok, 1, length(tok) - 1)")))
+    return forms.join(vocab.withColumnRenamed("tok", "lemma"), "lemma").select(
+        F.col("tok").alias("form"), "lemma")
+
+
+def lemmatize_join(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: str = "message_id",
+                   bound_rows: int | None = None) -> DataFrame:
+    """Replace each token by its lemma (unknown tokens stay), keeping
+    token order. Tokens are exploded with their position and looked up with
+    a broadcast join when the dictionary has a proven bound, else a join
+    salted on (id, position) so a hot token spreads over many tasks; the
+    array is rebuilt per message (a message is one row, so its group is
+    bounded by its own length)."""
+    from .joins import lookup_join
+    toks = df.select(id_col, F.posexplode(tokens_col).alias("_pos", "form"))
+    j = lookup_join(toks, lemmas, ["form"], "left", bound_rows=bound_rows,
+                    salt_from=F.xxhash64(id_col, "_pos"))
+    rebuilt = (j.groupBy(id_col)
+               .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form")
+                                                         .alias("_t")))).alias("_a"))
+               .select(id_col, F.transform("_a", lambda s: s["_t"]).alias(tokens_col)))
+    return df.drop(tokens_col).join(rebuilt, id_col, "left").withColumn(
+        tokens_col, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")))

@@ -162,7 +162,7 @@ tf AS (
     FROM prepared) GROUP BY message_id, term),
 ntrain AS (SELECT count(*) AS n FROM prepared WHERE NOT is_test),
 vocab0 AS (
-  SELECT term, sum(tf) AS total, count(*) AS df
+  SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df
   FROM tf JOIN prepared p USING (message_id) WHERE NOT p.is_test
   GROUP BY term {limit}),
 vocab AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM vocab0, ntrain),
