@@ -86,10 +86,13 @@ def roc_auc(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = 6,
     d = pred.groupBy(*keys, "score").agg(
         F.count(F.when(F.col("actual") == 1, 1)).alias("pos"),
         F.count(F.when(F.col("actual") == 0, 1)).alias("neg"))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = d.groupBy(*keys).agg(F.percentile_approx("score", probs, 10000).alias("_q"))
-    d = d.join(F.broadcast(cuts), keys).withColumn(
-        "_b", F.size(F.filter("_q", lambda q: q < F.col("score")))).drop("_q")
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        cuts = d.groupBy(*keys).agg(F.percentile_approx("score", probs, 10000).alias("_q"))
+        d = d.join(F.broadcast(cuts), keys).withColumn(
+            "_b", F.size(F.filter("_q", lambda q: q < F.col("score")))).drop("_q")
+    else:
+        d = d.withColumn("_b", F.lit(0))
     btot = d.groupBy(*keys, "_b").agg(F.sum("neg").alias("_bneg"))
     boff = btot.withColumn("_off", F.coalesce(F.sum("_bneg").over(
         Window.partitionBy(*keys).orderBy("_b")
