@@ -11,6 +11,7 @@ is stemmed once per Python worker and no token-level shuffle is needed.
 
 from __future__ import annotations
 
+import sys
 from functools import lru_cache
 
 import pandas as pd
@@ -159,8 +160,7 @@ def _step5(w: str) -> str:
     return w
 
 
-@lru_cache(maxsize=1 << 18)
-def stem(word: str) -> str:
+def stem_word(word: str) -> str:
     """Stem one lowercase token."""
     if word in IRREGULAR:
         return IRREGULAR[word]
@@ -175,15 +175,63 @@ def stem(word: str) -> str:
     return _step5(w)
 
 
-def _stem_series(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda arr: None if arr is None else [stem(t) for t in arr])
+stem = lru_cache(maxsize=1 << 18)(stem_word)
+
+
+MEMO_MAX = 1 << 20
+
+
+def _worker_memo() -> dict:
+    """One memo per Python worker process, kept across tasks (workers are
+    reused), so each distinct token is stemmed about once per worker."""
+    import builtins
+    memo = getattr(builtins, "_sievekit_stem_memo", None)
+    if memo is None or len(memo) > MEMO_MAX:
+        memo = {}
+        builtins._sievekit_stem_memo = memo
+    return memo
+
+
+def _stem_text_series(texts: pd.Series) -> pd.Series:
+    """Space-joined tokens in, space-joined stems out (a plain string column
+    crosses Arrow far cheaper than an array of strings)."""
+    memo = _worker_memo()
+
+    def one(t):
+        r = memo.get(t)
+        if r is None:
+            r = memo[t] = stem_word(t)
+        return r
+
+    def row(s):
+        if s is None:
+            return None
+        if not s:
+            return ""
+        return " ".join([one(t) for t in s.split(" ")])
+    return texts.map(row)
 
 
 _STEM_UDF = []
 
+# Ship this module's code with the UDF (by value), so executors need no
+# installed copy of the package.
+try:
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass
 
-def stem_tokens(tokens) -> Column:
-    """Column form: ARRAY<STRING> -> stemmed ARRAY<STRING> (Arrow batches)."""
+
+def stem_joined(text) -> Column:
+    """Column form: space-joined tokens -> space-joined stems (Arrow batches)."""
     if not _STEM_UDF:
-        _STEM_UDF.append(F.pandas_udf(_stem_series, T.ArrayType(T.StringType())))
-    return _STEM_UDF[0](F.col(tokens) if isinstance(tokens, str) else tokens)
+        _STEM_UDF.append(F.pandas_udf(_stem_text_series, T.StringType()))
+    return _STEM_UDF[0](F.col(text) if isinstance(text, str) else text)
+
+
+def stem_tokens(tokens) -> Column:
+    """ARRAY<STRING> -> stemmed ARRAY<STRING> (through the string form)."""
+    c = F.col(tokens) if isinstance(tokens, str) else tokens
+    joined = stem_joined(F.array_join(c, " "))
+    return F.when(F.size(c) == 0, c).otherwise(F.split(joined, " "))

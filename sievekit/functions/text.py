@@ -82,7 +82,7 @@ def lower_text(x) -> Column:
 
 def split_tokens(x) -> Column:
     """Whitespace split without empty edge tokens (``str.split()``)."""
-    return F.regexp_extract_all(_c(x), F.lit("(" + NON_SPACE_CLASS + "+)"), F.lit(1))
+    return F.filter(F.split(_c(x), SPACE_CLASS + "+"), lambda t: t != "")
 
 
 def drop_stopwords(tokens, stopwords: Iterable[str] = ENGLISH_STOPWORDS) -> Column:
@@ -106,12 +106,10 @@ def join_tokens(tokens) -> Column:
 
 def _treebank_steps() -> list[tuple[str, str]]:
     ws = SPACE_CLASS
-    steps = [
-        # quotes of any kind become separate tokens
-        ('(["`«“‘„»”’])', " $1 "),
-        # brackets and listed symbols are always split off
-        ("([;@#$%&?!*\\[\\](){}<>])", " $1 "),
-        ("(\\.\\.+|--)", " $1 "),
+    return [
+        # quotes of any kind, brackets and listed symbols, dot runs and double
+        # dashes become separate tokens (one pass: the alternatives are disjoint)
+        ('(["`«“‘„»”’;@#$%&?!*\\[\\](){}<>]|\\.\\.+|--)', " $1 "),
         # comma / colon unless followed by a digit
         ("([:,])([^\\p{Nd}])", " $1 $2"),
         ("([:,])$", " $1 "),
@@ -120,6 +118,10 @@ def _treebank_steps() -> list[tuple[str, str]]:
         # clitics need a following space; the text is space padded first
         ("([^' ])('s|'m|'d|'ll|'re|'ve|n't|')(" + ws + ")", "$1 $2$3"),
     ]
+
+
+def _split_word_steps() -> list[tuple[str, str]]:
+    steps = []
     for word, split in TREEBANK_SPLIT_WORDS:
         pat = "(^|" + NON_WORD_CHAR + ")" + re.escape(word).replace("\\'", "'") \
               + "(" + NON_WORD_CHAR + "|$)"
@@ -129,6 +131,10 @@ def _treebank_steps() -> list[tuple[str, str]]:
 
 
 TREEBANK_STEPS = _treebank_steps()
+SPLIT_WORD_STEPS = _split_word_steps()
+# cheap literal pre-check (native substring search): the word rules only
+# run on texts that contain one of the words
+SPLIT_WORDS = tuple(w for w, _ in TREEBANK_SPLIT_WORDS)
 
 
 def tokenize_words(x) -> Column:
@@ -139,13 +145,36 @@ def tokenize_words(x) -> Column:
     s = F.concat(F.lit(" "), _c(x), F.lit(" "))
     for pat, rep in TREEBANK_STEPS:
         s = F.regexp_replace(s, pat, rep)
-    return split_tokens(s)
+    return split_tokens(_let(s, _split_words))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element
+    ``transform`` binds it to a lambda variable; without this the optimizer
+    would inline the regex chain into every use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _split_words(s: Column) -> Column:
+    w = s
+    for pat, rep in SPLIT_WORD_STEPS:
+        w = F.regexp_replace(w, pat, rep)
+    guard = None
+    for word in SPLIT_WORDS:
+        g = F.contains(s, F.lit(word))
+        guard = g if guard is None else guard | g
+    return F.when(guard, w).otherwise(s)
 
 
 def tokenize_words_sql(x: str) -> str:
     s = f"(' ' || {x} || ' ')"
     for pat, rep in TREEBANK_STEPS:
         s = f"regexp_replace({s}, '{_sq(pat)}', '{_sq(sql_replace(rep))}', 'g')"
+    w = s
+    for pat, rep in SPLIT_WORD_STEPS:
+        w = f"regexp_replace({w}, '{_sq(pat)}', '{_sq(sql_replace(rep))}', 'g')"
+    guard = " OR ".join(f"contains({s}, '{_sq(word)}')" for word in SPLIT_WORDS)
+    s = f"CASE WHEN {guard} THEN {w} ELSE {s} END"
     return f"regexp_extract_all({s}, '({_sq(NON_SPACE_CLASS)}+)', 1)"
 
 
@@ -170,8 +199,8 @@ def clean_text_notebook(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS,
     """Lower -> tokenize -> alnum -> stopwords -> Porter stem -> join."""
     toks = drop_stopwords(keep_alnum_tokens(tokenize_words(lower_text(x))), stopwords)
     if stem:
-        from .porter import stem_tokens
-        toks = stem_tokens(toks)
+        from .porter import stem_joined
+        return stem_joined(join_tokens(toks))
     return join_tokens(toks)
 
 

@@ -60,7 +60,7 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
                  CLEANERS[cleaner]("original_text").alias("clean_text"))
     if split == "exact":
         m = FE.split_exact(m, seed, test_size)
-    else:
+    elif split == "threshold":
         m = FE.split_threshold(m, seed, test_size)
     if materialize:
         return checkpoint_stage(m, "messages", key="message_id")

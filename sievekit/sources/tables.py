@@ -19,7 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reader = spark.read
     if name in DRIVER:
         reader = reader.schema(DRIVER[name])
-    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def balance(df: DataFrame) -> DataFrame:
+    """Spread an under-split input over the cluster's cores.
+
+    A file written as one row group is one scan task, so every per-row step
+    after it (regexes over whole texts) would run on one core. When the scan
+    has fewer splits than cores, rows are spread round-robin (a deterministic,
+    retry-safe repartition); a large input already has many splits and is
+    left as it is. Filters and column pruning still reach the scan below."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def msg_email(spark: SparkSession, sf_dir: str) -> DataFrame:
