@@ -208,9 +208,12 @@ class FittedFeatures:
     max_features: int | None
 
     def transform(self, messages: DataFrame, text_col: str, id_col: str = "message_id",
-                  keep: Sequence[str] = ()) -> DataFrame:
-        """Long feature table (id, *keep, feature, value) for any message rows."""
-        tf = term_counts(messages, text_col, id_col, keep)
+                  keep: Sequence[str] = (), tf: DataFrame | None = None) -> DataFrame:
+        """Long feature table (id, *keep, feature, value) for any message rows;
+        ``tf`` may carry precomputed term counts (id, *keep, term, tf) of
+        exactly these messages."""
+        if tf is None:
+            tf = term_counts(messages, text_col, id_col, keep)
         tfidf = tfidf_weights(tf, self.vocab, self.max_features, id_col, keep)
         nums = numeric_long(minmax_scale(messages.select(id_col, *keep, *NUMERIC_FEATURES),
                                          self.scale), id_col=id_col, keep=keep)
@@ -218,8 +221,10 @@ class FittedFeatures:
 
 
 def fit_features(train: DataFrame, text_col: str, max_features: int | None = None,
-                 id_col: str = "message_id") -> FittedFeatures:
-    """vocabulary, idf and min/max from the training rows only."""
-    tf = term_counts(train, text_col, id_col)
+                 id_col: str = "message_id", tf: DataFrame | None = None) -> FittedFeatures:
+    """vocabulary, idf and min/max from the training rows only
+    (``tf``: precomputed term counts of the training rows)."""
+    if tf is None:
+        tf = term_counts(train, text_col, id_col)
     vocab = build_vocabulary(tf, count_rows(train), max_features, id_col)
     return FittedFeatures(vocab, minmax_stats(train), max_features)

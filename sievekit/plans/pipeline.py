@@ -67,6 +67,14 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
     return partition_messages(m)
 
 
+def staged_term_counts(m: DataFrame, text_col: str = "clean_text") -> DataFrame:
+    """F2 once per prepared message set: (message_id, label_num, is_test, term,
+    tf), written bucketed by message_id like the messages, so vocabulary, fit
+    and scoring all read it without re-tokenising or shuffling the texts."""
+    tf = FE.term_counts(m, text_col, keep=("label_num", "is_test"))
+    return checkpoint_stage(tf, "tf", key="message_id")
+
+
 def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,
                             max_features: int | None = 3000, cleaner: str = "browser",
                             split: str = "threshold") -> DataFrame:
@@ -74,11 +82,14 @@ def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,
     (message_id, actual, predicted, score)."""
     m = prepared(spark, sf_dir, seed, cleaner, split)
     train, test = m.where(~F.col("is_test")), m.where(F.col("is_test"))
-    fitted = FE.fit_features(train, "clean_text", max_features)
+    tf = staged_term_counts(m)
+    train_tf = tf.where(~F.col("is_test")).drop("is_test")
+    fitted = FE.fit_features(train, "clean_text", max_features, tf=train_tf)
     bound = None if max_features is None else max_features + len(FE.NUMERIC_FEATURES)
-    model = fit_naive_bayes(fitted.transform(train, "clean_text", keep=("label_num",)),
+    model = fit_naive_bayes(fitted.transform(train, "clean_text", keep=("label_num",), tf=train_tf),
                             train.select("message_id", "label_num"), bound_rows=bound)
-    scored = model.predict(fitted.transform(test, "clean_text"))
+    scored = model.predict(fitted.transform(
+        test, "clean_text", tf=tf.where(F.col("is_test")).drop("is_test", "label_num")))
     return (test.select("message_id", F.col("label_num").alias("actual"))
             .join(scored, "message_id", "left")
             .select("message_id", "actual",

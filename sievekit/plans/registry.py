@@ -741,6 +741,93 @@ def corrections_feed(spark, sf_dir):
                                                     ST.flips(spark, sf_dir)))
 
 
+def _upload_lines(spark, sf_dir):
+    """I4: the uploaded 'file' = every conversation text, line ids from BATCH_MS."""
+    conv = S.table(spark, sf_dir, "conversations")
+    raw = conv.select("conv_id", "turn",
+                      F.posexplode(F.split("text", "\r?\n")).alias("line_no", "raw"))
+    lines = raw.select("conv_id", "turn", F.col("line_no").cast("int"),
+                       FI.clean_message_line(F.col("raw")).alias("texto"))
+    return SC.assign_message_ids(lines, BATCH_MS, ["conv_id", "turn", "line_no"])
+
+
+def _nb_fitted(spark, sf_dir):
+    m = PL.prepared(spark, sf_dir)
+    train = m.where(~F.col("is_test"))
+    tf = PL.staged_term_counts(m).where(~F.col("is_test")).drop("is_test")
+    fitted = FE.fit_features(train, "clean_text", 3000, tf=tf)
+    model = fit_naive_bayes(fitted.transform(train, "clean_text", keep=("label_num",), tf=tf),
+                            train.select("message_id", "label_num"), bound_rows=3003)
+    return fitted, model
+
+
+_SCORE_SQL = with_(_NB + "," + _LINES_SQL + f""",
+newmsg AS (
+  SELECT {BATCH_MS} + CAST(row_number() OVER (ORDER BY conv_id, turn, line_no) - 1 AS BIGINT) AS id, texto
+  FROM lines QUALIFY texto IS NOT NULL),
+nm AS (
+  SELECT id AS message_id, texto, {O.length_sql('texto')} AS message_length,
+         {O.upper_sql('texto')} AS num_uppercase, {O.digits_sql('texto')} AS num_digits,
+         {O.clean_browser_sql('texto')} AS clean_text FROM newmsg),
+ntf AS (
+  SELECT message_id, term, count(*) AS tf FROM (
+    SELECT message_id, unnest({_VEC_TOKENS_SQL}) AS term FROM nm) GROUP BY message_id, term),
+nwt AS (SELECT message_id, term, tf * idf AS w FROM ntf JOIN vocab USING (term)),
+nfeats AS (
+  SELECT message_id, term AS feature, w / sqrt(sum(w * w) OVER (PARTITION BY message_id)) AS value
+  FROM nwt
+  UNION ALL SELECT message_id, '#message_length',
+    (message_length - lo1) / CASE WHEN hi1 - lo1 = 0 THEN 1.0 ELSE hi1 - lo1 END FROM nm, mm
+  UNION ALL SELECT message_id, '#num_uppercase',
+    (num_uppercase - lo2) / CASE WHEN hi2 - lo2 = 0 THEN 1.0 ELSE hi2 - lo2 END FROM nm, mm
+  UNION ALL SELECT message_id, '#num_digits',
+    (num_digits - lo3) / CASE WHEN hi3 - lo3 = 0 THEN 1.0 ELSE hi3 - lo3 END FROM nm, mm),
+njll AS (
+  SELECT message_id, sum(value * lt0) + max(lp0) AS jll0, sum(value * lt1) + max(lp1) AS jll1
+  FROM nfeats JOIN theta USING (feature) CROSS JOIN prior GROUP BY message_id)""", """
+SELECT n.message_id AS id, n.texto, coalesce(j.jll1 > j.jll0, false) AS "esSpam",
+       round(1.0 / (1.0 + exp(j.jll0 - j.jll1)), 6) AS score
+FROM nm n LEFT JOIN njll j USING (message_id)""")
+
+
+@register("score_table", _SCORE_SQL)
+def score_table(spark, sf_dir):
+    fitted, model = _nb_fitted(spark, sf_dir)
+    new = _upload_lines(spark, sf_dir).select("id", "texto")
+    return SC.score_table(new, fitted, model, T.clean_text_browser).withColumn("score", r6("score"))
+
+
+@register("score_stream", _SCORE_SQL)
+def score_stream(spark, sf_dir):
+    """The same upload arriving as files, scored by a Structured
+    Streaming query (availableNow) with the batch scorer per micro-batch."""
+    from ..session import shared_path
+    from ..streaming.scoring import read_sink, score_stream as start
+    fitted, model = _nb_fitted(spark, sf_dir)
+    src, sink, ck = (shared_path(spark, n) for n in ("score-src", "score-sink", "score-ckpt"))
+    _upload_lines(spark, sf_dir).select("id", "texto").write.parquet(src)
+    q = start(spark, src, "id long, texto string",
+              lambda b: SC.score_table(b, fitted, model, T.clean_text_browser), sink, ck)
+    q.awaitTermination()
+    return read_sink(spark, sink).select("id", "texto", "esSpam", r6("score").alias("score"))
+
+
+@register("corrections_stream", with_(_FLIPS_SQL, """
+SELECT id, texto AS texto_anonimizado, CAST("esSpam" AS INTEGER) AS etiqueta_correcta,
+       'pendiente' AS estado FROM corrected WHERE changed"""))
+def corrections_stream(spark, sf_dir):
+    """I6 stream form: correction clicks arriving as files, click counts in
+    the state store, changed labels emitted per micro-batch."""
+    from ..session import shared_path
+    from ..streaming.scoring import corrections_stream as start, read_sink
+    src, sink, ck = (shared_path(spark, n) for n in ("clicks-src", "clicks-sink", "clicks-ckpt"))
+    ST.flips(spark, sf_dir).select("id").write.parquet(src)
+    q = start(spark, src, ST.mailbox_t(spark, sf_dir), sink, ck)
+    q.awaitTermination()
+    out = read_sink(spark, sink)
+    return out.where("changed").select("id", "texto_anonimizado", "etiqueta_correcta", "estado")
+
+
 # ---------------------------------------------------------------------------------------
 # X: profiling (lineitem, customer, part)
 
