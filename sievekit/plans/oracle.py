@@ -226,7 +226,8 @@ UNION ALL SELECT {keys}, {s}, {h}, fn FROM cc
 UNION ALL SELECT {keys}, {s}, {s}, tp FROM cc"""
 
 
-def flagship_sql(seed: int = 42) -> str:
-    return ("WITH " + prepared_ctes(seed) + nb_ctes(3000) + f""",
+def flagship_sql(seed: int = 42, max_features: int | None = 3000, cleaner: str = "browser",
+                 split: str = "threshold") -> str:
+    return ("WITH " + prepared_ctes(seed, cleaner, split) + nb_ctes(max_features) + f""",
 pred AS (SELECT 'run_01_seed{seed}' AS run_id, 'Naive Bayes' AS model_name, actual, predicted
          FROM nb_pred),""" + confusion_long_sql("pred"))

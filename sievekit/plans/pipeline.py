@@ -96,9 +96,10 @@ def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,
                     F.coalesce("predicted", F.lit(0)).alias("predicted"), "score"))
 
 
-def flagship(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, seed: int = 42, max_features: int | None = 3000,
+             cleaner: str = "browser", split: str = "threshold") -> DataFrame:
     """Seed-42 confusion matrix (long form) of the relational Naive Bayes."""
-    pred = naive_bayes_predictions(spark, sf_dir, seed).select(
+    pred = naive_bayes_predictions(spark, sf_dir, seed, max_features, cleaner, split).select(
         F.lit(f"run_01_seed{seed}").alias("run_id"), F.lit("Naive Bayes").alias("model_name"),
         F.lit(1).alias("model_ord"), "actual", "predicted")
     return E.confusion_long(E.confusion_counts(pred))

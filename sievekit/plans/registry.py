@@ -59,6 +59,30 @@ def flagship_nb_confusion(spark, sf_dir):
     return PL.flagship(spark, sf_dir, 42)
 
 
+@register("nb_confusion_package", O.flagship_sql(42, cleaner="package"))
+def nb_confusion_package(spark, sf_dir):
+    """Package variant: T17 cleaner."""
+    return PL.flagship(spark, sf_dir, 42, cleaner="package")
+
+
+@register("nb_confusion_notebook", O.flagship_sql(42, cleaner="notebook_nostem"))
+def nb_confusion_notebook(spark, sf_dir):
+    """Notebook variant, stemming off (T16 without T14, which has no SQL form)."""
+    return PL.flagship(spark, sf_dir, 42, cleaner="notebook_nostem")
+
+
+@register("nb_confusion_exact_split", O.flagship_sql(42, split="exact"))
+def nb_confusion_exact_split(spark, sf_dir):
+    """Exact stratified split (F8 exact mode) feeding the same model."""
+    return PL.flagship(spark, sf_dir, 42, split="exact")
+
+
+@register("nb_confusion_unbounded", O.flagship_sql(42, max_features=None))
+def nb_confusion_unbounded(spark, sf_dir):
+    """Unlimited vocabulary (notebook TfidfVectorizer()): salted joins on term."""
+    return PL.flagship(spark, sf_dir, 42, max_features=None)
+
+
 # ---------------------------------------------------------------------------------------
 # S: sources
 
@@ -961,6 +985,15 @@ def kernel_density(spark, sf_dir):
 # ---------------------------------------------------------------------------------------
 # queries without an exact SQL form (rows-only check)
 
+@register("experiment_run")
+def experiment_run(spark, sf_dir):
+    """E16-E18 for one seed with the four fitted candidates (MLlib fits have no
+    exact SQL form): the results table without the wall-clock columns."""
+    from . import experiment as XP
+    ex = XP.run_experiment(spark, sf_dir, seeds=(42,))
+    return ex.results.drop("training_time_sec", "inference_time_sec", "date_trained")
+
+
 @register("clean_text_notebook_stemmed")
 def clean_text_notebook_stemmed(spark, sf_dir):
     """T16 with T14 (Porter stemming through an Arrow UDF): no SQL stemmer."""
