@@ -72,8 +72,11 @@ def metrics(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int = 6) -> Dat
                     F.round(f1(), digits).alias("f1_score"))
 
 
+SCORES_PER_BUCKET = 1_000_000
+
+
 def roc_auc(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = 6,
-            buckets: int = 256) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """E7 exact ROC AUC (ties count half), null when a class is missing.
 
     AUC = sum over positives of (#neg with lower score + 0.5 #neg tied) / (P*N).
@@ -81,11 +84,18 @@ def roc_auc(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = 6,
     aggregated to distinct values (a hot score is one row), cut into
     ``buckets`` quantile ranges per group, bucket totals give each bucket's
     offset (a small table), and the running count inside a bucket is a
-    window over ~1/buckets of the distinct scores, never a whole group."""
+    window over ~1/buckets of the distinct scores, never a whole group.
+    ``buckets=None`` sizes it from the data: one bucket per million distinct
+    scores of the largest group (the distinct-score table is persisted, as
+    it feeds the count, the cut points and the scan)."""
     keys = list(keys)
     d = pred.groupBy(*keys, "score").agg(
         F.count(F.when(F.col("actual") == 1, 1)).alias("pos"),
         F.count(F.when(F.col("actual") == 0, 1)).alias("neg"))
+    if buckets is None:
+        d = d.persist()
+        largest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(1, -(-largest // SCORES_PER_BUCKET))
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
         cuts = d.groupBy(*keys).agg(F.percentile_approx("score", probs, 10000).alias("_q"))

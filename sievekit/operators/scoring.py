@@ -19,7 +19,10 @@ def score_table(messages: DataFrame, fitted: FE.FittedFeatures, model, cleaner,
     cleaner is stored with the model) -> features -> class. Adds
     ``esSpam`` (label 1) and ``score``."""
     from ..functions.text import extract_features
+    from .features import NUMERIC_FEATURES
+    from .prep import cast_float32
     m = extract_features(messages, text_col).withColumn("clean_text", cleaner(F.col(text_col)))
+    m = cast_float32(m, NUMERIC_FEATURES)   # P12: the service feeds float32 counts
     m = m.withColumnRenamed(id_col, "message_id")
     scored = model.predict(fitted.transform(m, "clean_text"))
     return (m.select("message_id", text_col).join(scored, "message_id", "left")

@@ -58,6 +58,7 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
     m = labelled_messages(spark, sf_dir)
     m = m.select("message_id", "label_num", "message_length", "num_uppercase", "num_digits",
                  CLEANERS[cleaner]("original_text").alias("clean_text"))
+    m = P.fill_null_text(m, "clean_text")           # P8 before vectorising
     if split == "exact":
         m = FE.split_exact(m, seed, test_size)
     elif split == "threshold":

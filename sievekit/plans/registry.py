@@ -101,6 +101,13 @@ def extract_raw(spark, sf_dir):
     return S.extract_raw(S.raw_table(spark, sf_dir))
 
 
+@register("read_first_n", with_(O.MSG_CTES, """
+SELECT * FROM msg ORDER BY source_rank, message_id LIMIT 1000"""))
+def read_first_n(spark, sf_dir):
+    """The first 1000 messages in (source, id) order (the limit is the feature)."""
+    return FI.read_first_n(S.msg(spark, sf_dir), 1000, ["source_rank", "message_id"])
+
+
 _LINES_SQL = f"""
 lines0 AS (
   SELECT conv_id, turn, unnest(arr_) AS raw, CAST(generate_subscripts(arr_, 1) - 1 AS INTEGER) AS line_no
@@ -207,6 +214,16 @@ def cleaning_audit(spark, sf_dir):
 _PREP42 = O.prepared_ctes(42)
 
 
+@register("preview_rows", with_(_LABELLED, """
+SELECT message_id, label, message_length, num_uppercase, num_digits FROM labelled
+ORDER BY message_id LIMIT 5"""))
+def preview_rows(spark, sf_dir):
+    """First five rows of the feature table (the limit is the feature)."""
+    m = PL.labelled_messages(spark, sf_dir).select(
+        "message_id", "label", "message_length", "num_uppercase", "num_digits")
+    return P.preview_rows(m, ["message_id"], 5)
+
+
 @register("class_balance", with_(_PREP42, """
 SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS split, label_num, count(*) AS n
 FROM prepared GROUP BY ALL"""))
