@@ -24,6 +24,9 @@ VECTORIZER_TOKEN = "[\\p{L}\\p{N}_]{2,}"
 URL = "http" + NON_SPACE_CLASS + "+"
 BROWSER_DROP = "[^a-z" + SPACE_CHARS + "]"   # JS \\s is Unicode whitespace
 UPPER_CLASS_SPARK = "\\p{IsUppercase}"   # Java: Lu + Other_Uppercase (Python isupper)
+# Digits below U+00B2 are exactly 0-9, so ASCII text takes a cheap range test
+# and only other characters are tried against the long Unicode class.
+DIGIT_PATTERN_SPARK = "[0-9]|(?=[^\\x{0}-\\x{b1}])" + DIGIT_CLASS
 UPPER_CLASS_SQL = "\\p{Lu}"              # RE2 has no Other_Uppercase property
 
 
@@ -50,7 +53,7 @@ def num_uppercase(x) -> Column:
 
 def num_digits(x) -> Column:
     """Unicode digits incl. superscripts and circled digits (``isdigit``)."""
-    return F.regexp_count(_c(x), F.lit(DIGIT_CLASS)).cast("int")
+    return F.regexp_count(_c(x), F.lit(DIGIT_PATTERN_SPARK)).cast("int")
 
 
 def ascii_upper(x) -> Column:

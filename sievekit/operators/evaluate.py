@@ -170,10 +170,8 @@ def production_flag(scored: DataFrame, canonical_run: str = "run_01_seed42",
     winner = (scored.where(F.col("run_id") == canonical_run)
               .agg(F.max_by("model_name", F.struct(F.col(score_col), -F.col(order)))
                    .alias("_prod")))
-    return (scored.crossJoin(F.broadcast(winner))
-            .withColumn("is_production_model",
-                        F.coalesce(F.col("model_name") == F.col("_prod"), F.lit(False)))
-            .drop("_prod"))
+    return scored.withColumn("is_production_model",
+                             F.coalesce(F.col("model_name") == winner.scalar(), F.lit(False)))
 
 
 def rank_by_f1(m: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:

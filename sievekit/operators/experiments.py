@@ -63,11 +63,13 @@ def mean_by_model(results: DataFrame, metrics: Sequence[str] = METRICS,
         *[F.round(F.avg(m), digits).alias(m) for m in metrics])
 
 
-def run_grid_splits(labelled: DataFrame, runs: DataFrame, test_size: float = 0.2) -> DataFrame:
+def run_grid_splits(labelled: DataFrame, seeds: Sequence[int], test_size: float = 0.2) -> DataFrame:
     """E16 (split part): per run, threshold split of the labelled messages;
-    counts per (run, split, label). The run grid is a five-row broadcast."""
+    counts per (run, split, label). Each row is replicated once per run of
+    the fixed grid (an in-row ``inline``, no join)."""
+    from ..sources.standins import run_grid_column
     from .features import split_key_col, test_key_limit
-    j = labelled.select("message_id", "label_num").crossJoin(F.broadcast(runs))
+    j = labelled.select("message_id", "label_num", F.inline(run_grid_column(seeds)))
     split = F.when(split_key_col(F.col("seed")) < F.lit(test_key_limit(test_size)), "test") \
              .otherwise("train")
     return (j.groupBy("run_id", split.alias("split"), "label_num")

@@ -39,16 +39,16 @@ def build_vocabulary(train_tf: DataFrame, n_train, max_features: int | None = No
     """(term, idf) from training term counts.
 
     idf = ln((1+n)/(1+df)) + 1; with ``max_features`` the top terms by corpus
-    count, ties by term ascending. ``n_train`` is a one-row DataFrame with
-    column ``n`` (number of training messages, empty ones included)."""
+    count, ties by term ascending. ``n_train`` is a one-row, one-column
+    DataFrame (number of training messages, empty ones included), read as a
+    scalar subquery."""
     stats = train_tf.groupBy("term").agg(F.sum("tf").alias("total"),
                                          F.count(F.lit(1)).alias("df"))
     if max_features is not None:
         stats = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-    return (stats.crossJoin(F.broadcast(n_train))
-            .select("term",
-                    (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0)
-                    .alias("idf")))
+    n = n_train.scalar()
+    return stats.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+                        .alias("idf"))
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:
@@ -83,14 +83,14 @@ def minmax_stats(train: DataFrame, cols: Sequence[str] = NUMERIC_FEATURES) -> Da
 def minmax_scale(df: DataFrame, stats: DataFrame,
                  cols: Sequence[str] = NUMERIC_FEATURES) -> DataFrame:
     """(x - min) / range with train statistics; a constant training column
-    uses range 1 (so train rows get 0); no clipping of test rows."""
-    j = df.crossJoin(F.broadcast(stats))
+    uses range 1 (so train rows get 0); no clipping of test rows. The one-row
+    statistics are scalar subqueries (merged into one aggregate by Catalyst)."""
     out = {}
     for c in cols:
-        lo, hi = F.col(f"{c}__min"), F.col(f"{c}__max")
+        lo, hi = stats.select(f"{c}__min").scalar(), stats.select(f"{c}__max").scalar()
         rng = F.when(hi - lo == 0, F.lit(1.0)).otherwise(hi - lo)
         out[c] = (F.col(c).cast("double") - lo) / rng
-    return j.withColumns(out).drop(*[f"{c}__{s}" for c in cols for s in ("min", "max")])
+    return df.withColumns(out)
 
 
 # -- F7 ------------------------------------------------------------------------------------
@@ -152,34 +152,52 @@ def class_quotas(counts: DataFrame, test_size: float = 0.2, label: str = "label_
     return q
 
 
+def _cut_bucket(rows: DataFrame, need: DataFrame, label: str) -> DataFrame:
+    """For each class, the bucket ``_b`` holding its ``_need``-th row (rows
+    ordered by bucket) and how many rows come before that bucket. The
+    histogram is a partial aggregate; its window holds one class's buckets
+    (at most 2^16), never rows."""
+    hist = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    cum = hist.withColumn("_cum", F.sum("_cnt").over(
+        Window.partitionBy(label).orderBy("_b")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    hit = (cum.join(F.broadcast(need), label)
+           .where((F.col("_cum") >= F.col("_need")) & (F.col("_need") > 0))
+           .groupBy(label, "_need")
+           .agg(F.min_by(F.struct("_b", (F.col("_cum") - F.col("_cnt")).alias("_before")),
+                         F.col("_b")).alias("_c")))
+    return hit.select(label, F.col("_c._b").alias("_b"),
+                      (F.col("_need") - F.col("_c._before")).alias("_need"))
+
+
 def split_exact(df: DataFrame, seed: int, test_size: float = 0.2,
                 label: str = "label_num", id_col: str = "message_id") -> DataFrame:
     """F8 exact mode: per class, the ``test_q`` rows with the smallest
     (key, id) go to test.
 
-    No window over a whole class (two classes = two giant groups): a
-    2^16-bucket histogram per class (partial aggregate, bounded size) finds
-    the bucket holding each class's cut; only that bucket's rows are ranked;
-    the resulting one-row-per-class cut is broadcast into a narrow filter."""
+    No window over a class (two classes are two giant groups): the cut is
+    found by refinement. Level 1 histograms the high 16 key bits per class
+    and finds the bucket holding the cut; level 2 does the same for the low
+    16 bits inside that bucket only; the rows that share the resulting full
+    32-bit key (hash collisions, a handful) are ranked by id. The per-class
+    cut (key, id) is broadcast (one row per class) into a narrow filter."""
     keyed = df.select(id_col, label, split_key(seed, id_col).alias("_k"))
-    keyed = keyed.withColumn("_b", F.shiftright("_k", BUCKET_SHIFT))
     counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    quotas = class_quotas(counts, test_size, label)
-    hist = keyed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    cum = hist.withColumn("_cum", F.sum("_cnt").over(
-        Window.partitionBy(label).orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    # bucket containing the test_q-th row (first bucket whose cumulative count reaches it)
-    cut_b = (cum.join(F.broadcast(quotas), label)
-             .where((F.col("_cum") >= F.col("test_q")) & (F.col("test_q") > 0))
-             .groupBy(label).agg(F.min_by(F.struct("_b", (F.col("_cum") - F.col("_cnt")).alias("_before")),
-                                          F.col("_b")).alias("_c"))
-             .select(label, "_c._b", "_c._before")
-             .join(F.broadcast(quotas.select(label, "test_q")), label))
-    in_bucket = (keyed.join(F.broadcast(cut_b), [label, "_b"])
-                 .withColumn("_r", F.col("_before") + F.row_number().over(
-                     Window.partitionBy(label, "_b").orderBy("_k", id_col))))
-    cuts = (in_bucket.where(F.col("_r") == F.col("test_q"))
+    need = class_quotas(counts, test_size, label).select(label, F.col("test_q").alias("_need"))
+    hi = F.shiftright("_k", BUCKET_SHIFT)
+    lo = F.col("_k").bitwiseAND((1 << BUCKET_SHIFT) - 1)
+    cut1 = _cut_bucket(keyed.withColumn("_b", hi), need, label)
+    lvl2 = (keyed.withColumn("_b1", hi)
+            .join(F.broadcast(cut1.select(label, F.col("_b").alias("_b1"))), [label, "_b1"])
+            .withColumn("_b", lo))
+    cut2 = _cut_bucket(lvl2, cut1.select(label, "_need"), label)
+    key_cut = (cut1.select(label, F.col("_b").alias("_b1"))
+               .join(cut2, label)
+               .select(label, (F.shiftleft("_b1", BUCKET_SHIFT) + F.col("_b")).alias("_kc"),
+                       "_need"))
+    ranked = (keyed.join(F.broadcast(key_cut), label).where(F.col("_k") == F.col("_kc"))
+              .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(id_col))))
+    cuts = (ranked.where(F.col("_r") == F.col("_need"))
             .select(label, F.col("_k").alias("_cut_k"), F.col(id_col).alias("_cut_id")))
     with_key = df.withColumn("_k", split_key(seed, id_col))
     return (with_key.join(F.broadcast(cuts), label, "left")

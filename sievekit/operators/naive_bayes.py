@@ -32,8 +32,9 @@ class NaiveBayesModel:
                         bound_rows=self.bound_rows, salt_from=F.xxhash64(id_col))
         s = j.groupBy(id_col).agg(F.sum(F.col("value") * F.col("lt0")).alias("s0"),
                                   F.sum(F.col("value") * F.col("lt1")).alias("s1"))
-        s = s.crossJoin(F.broadcast(self.prior))
-        jll0, jll1 = F.col("s0") + F.col("lp0"), F.col("s1") + F.col("lp1")
+        # the prior is one row: read it as scalar subqueries, not a join
+        lp0, lp1 = self.prior.select("lp0").scalar(), self.prior.select("lp1").scalar()
+        jll0, jll1 = F.col("s0") + lp0, F.col("s1") + lp1
         return s.select(id_col, jll0.alias("jll0"), jll1.alias("jll1"),
                         (jll1 > jll0).cast("int").alias("predicted"),
                         (F.lit(1.0) / (F.lit(1.0) + F.exp(jll0 - jll1))).alias("score"))
@@ -53,10 +54,9 @@ def fit_naive_bayes(train_features: DataFrame, train_labels: DataFrame,
     a = F.lit(float(alpha))
     totals = sums.agg((F.sum("f0") + a * F.count(F.lit(1))).alias("t0"),
                       (F.sum("f1") + a * F.count(F.lit(1))).alias("t1"))
-    theta = (sums.crossJoin(F.broadcast(totals))
-             .select("feature",
-                     (F.log(F.col("f0") + a) - F.log("t0")).alias("lt0"),
-                     (F.log(F.col("f1") + a) - F.log("t1")).alias("lt1")))
+    t0, t1 = totals.select("t0").scalar(), totals.select("t1").scalar()
+    theta = sums.select("feature", (F.log(F.col("f0") + a) - F.log(t0)).alias("lt0"),
+                        (F.log(F.col("f1") + a) - F.log(t1)).alias("lt1"))
     counts = train_labels.agg(F.count(F.when(F.col(label) == 0, 1)).alias("n0"),
                               F.count(F.when(F.col(label) == 1, 1)).alias("n1"))
     n = F.col("n0") + F.col("n1")

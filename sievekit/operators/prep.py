@@ -99,10 +99,9 @@ def cast_float32(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def cleaning_audit(before: DataFrame, after: DataFrame, stage: str = "clean") -> DataFrame:
     """Rows before/after/removed. Two partial counts combined in one row."""
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))
-    a = after.agg(F.count(F.lit(1)).alias("rows_after"))
-    return (b.crossJoin(a)
-             .select(F.lit(stage).alias("stage"), "rows_before", "rows_after",
-                     (F.col("rows_before") - F.col("rows_after")).alias("rows_removed")))
+    a = after.agg(F.count(F.lit(1))).scalar()
+    return b.select(F.lit(stage).alias("stage"), "rows_before", a.alias("rows_after"),
+                    (F.col("rows_before") - a).alias("rows_removed"))
 
 
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:

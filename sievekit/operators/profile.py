@@ -65,10 +65,11 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
                    .otherwise(F.col("_mn")).alias("_lo"),
                    F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5)
                    .otherwise(F.col("_mx")).alias("_hi"))
-    w = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.least(F.floor((x - F.col("_lo")) / w).cast("int"), F.lit(bins - 1))
-    counts = (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(st))
+    lo_s, hi_s = st.select("_lo").scalar(), st.select("_hi").scalar()
+    b = F.least(F.floor((x - lo_s) / ((hi_s - lo_s) / bins)).cast("int"), F.lit(bins - 1))
+    counts = (df.where(F.col(col).isNotNull())
               .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count")))
+    w = (F.col("_hi") - F.col("_lo")) / bins
     grid = st.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_lo", "_hi")
     return (grid.join(counts, "bin", "left")
             .select(F.lit(col).alias("column"), "bin",

@@ -686,7 +686,7 @@ SELECT run_id, CASE WHEN CAST(('0x' || substr(md5(CAST(seed AS VARCHAR) || ':' |
        label_num, count(*) AS n
 FROM labelled CROSS JOIN runs GROUP BY ALL"""))
 def run_grid(spark, sf_dir):
-    return X.run_grid_splits(PL.labelled_messages(spark, sf_dir), ST.runs(spark))
+    return X.run_grid_splits(PL.labelled_messages(spark, sf_dir), ST.RUN_SEEDS)
 
 
 @register("results_table", with_(_PRED, """

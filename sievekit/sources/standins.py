@@ -24,9 +24,15 @@ RULE_MODELS = (
 )
 
 
-def runs(spark: SparkSession) -> DataFrame:
-    rows = [(f"run_{i + 1:02d}_seed{s}", s, i + 1) for i, s in enumerate(RUN_SEEDS)]
-    return spark.createDataFrame(rows, "run_id string, seed int, run_ord int")
+def run_id(idx: int, seed: int) -> str:
+    return f"run_{idx + 1:02d}_seed{seed}"
+
+
+def run_grid_column(seeds=RUN_SEEDS):
+    """The run grid as an array of (run_id, seed, run_ord) structs, to be
+    ``inline``-d into each row (bounded replication, no join)."""
+    return F.array(*[F.struct(F.lit(run_id(i, s)).alias("run_id"), F.lit(s).alias("seed"),
+                              F.lit(i + 1).alias("run_ord")) for i, s in enumerate(seeds)])
 
 
 def pred_rule(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None,
@@ -38,8 +44,7 @@ def pred_rule(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = Non
         labelled = labelled_messages(spark, sf_dir)
     base = labelled.select("message_id", "label_num", "message_length", "num_uppercase",
                            "num_digits")
-    grid = F.broadcast(runs(spark))          # five rows
-    per_run = (base.crossJoin(grid)
+    per_run = (base.select("*", F.inline(run_grid_column()))
                .where(split_key_col(F.col("seed"), "message_id") < F.lit(test_key_limit(test_size))))
     models = F.array(*[F.struct(F.lit(o).alias("model_ord"), F.lit(n).alias("model_name"),
                                 F.expr(e).cast("double").alias("score"),
