@@ -30,9 +30,15 @@ def labelled_messages(spark: SparkSession, sf_dir: str, source: str = "msg") ->
     """Deduplicated, labelled messages with the T19 counts:
     (message_id, label, original_text, source, source_rank, label_num,
     message_length, num_uppercase, num_digits)."""
-    base = {"msg": S.msg, "email": S.msg_email, "sms": S.msg_sms}[source](spark, sf_dir)
-    d = P.dedup_text_keep_first(base)
-    d = P.drop_null_rows(d, ["original_text"])
+    if source == "msg":
+        # dedup first (one shuffle of the texts), then join the e-mail labels
+        # to the winning rows only (one shuffle by id, which the message
+        # stage reuses); the winner's label is the same either way
+        d = P.dedup_text_keep_first(S.msg_unlabelled(spark, sf_dir))
+        d = S.attach_email_labels(spark, sf_dir, P.drop_null_rows(d, ["original_text"]))
+    else:
+        base = {"email": S.msg_email, "sms": S.msg_sms}[source](spark, sf_dir)
+        d = P.drop_null_rows(P.dedup_text_keep_first(base), ["original_text"])
     d = d.withColumn("label_num", P.map_label_fixed("label"))
     d = P.drop_null_rows(d, ["label_num"])
     return T.extract_features(d)
@@ -64,7 +70,8 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
     elif split == "threshold":
         m = FE.split_threshold(m, seed, test_size)
     if materialize:
-        return checkpoint_stage(m, "messages", key="message_id")
+        # rows are already hash-partitioned by message_id (label join)
+        return checkpoint_stage(m, "messages", key="message_id", prepartitioned=True)
     return partition_messages(m)
 
 

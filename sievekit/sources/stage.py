@@ -19,7 +19,10 @@ from ..session import shared_path
 
 
 def checkpoint_stage(df: DataFrame, name: str = "stage", key: str | None = None,
-                     buckets: int | None = None) -> DataFrame:
+                     buckets: int | None = None, prepartitioned: bool = False) -> DataFrame:
+    """``prepartitioned``: ``df`` is already hash-partitioned by ``key`` into
+    ``buckets`` partitions (e.g. the output of a join on it), so each task
+    holds one bucket and no extra shuffle is added before the write."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex[:10]}"
     path = shared_path(spark, table)
@@ -27,7 +30,7 @@ def checkpoint_stage(df: DataFrame, name: str = "stage", key: str | None = None,
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one shuffle by key: each task then writes exactly one file per bucket
-    (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key)
-       .option("path", path).saveAsTable(table))
+    # one shuffle by key (unless already done): each task writes one bucket
+    src = df if prepartitioned else df.repartition(n, key)
+    src.write.mode("overwrite").bucketBy(n, key).option("path", path).saveAsTable(table)
     return spark.table(table)

@@ -45,8 +45,7 @@ def msg_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (docs.join(labels, "doc_id", "left")
             .select(F.col("doc_id").alias("message_id"),
-                    F.when(F.col("quality") == 0, "spam")
-                     .when(F.col("quality") == 1, "ham").alias("label"),
+                    email_quality_label(F.col("quality")).alias("label"),
                     F.col("text").alias("original_text"),
                     F.lit("email").alias("source"),
                     F.lit(0).alias("source_rank")))
@@ -63,6 +62,39 @@ def msg_sms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("source_rank"))
 
 
+def email_quality_label(quality):
+    """quality 0 -> 'spam', 1 -> 'ham', anything else -> null."""
+    return F.when(quality == 0, "spam").when(quality == 1, "ham")
+
+
+def msg_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``msg`` before the e-mail labels are attached (sms labels come from the
+    row itself): lets dedup run before the label join, so only the winning
+    rows are joined."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("message_id"), F.lit(None).cast("string").alias("label"),
+        F.col("text").alias("original_text"), F.lit("email").alias("source"),
+        F.lit(0).alias("source_rank"))
+    from ..operators.prep import union_sources
+    return union_sources(docs, msg_sms(spark, sf_dir))
+
+
+def attach_email_labels(spark: SparkSession, sf_dir: str, df: DataFrame,
+                        num_partitions: int | None = None) -> DataFrame:
+    """Left-join the e-mail labels to message rows. Both sides are hash
+    partitioned by message id explicitly, so the join output keeps that
+    partitioning (later stages bucket by the same key without reshuffling)."""
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the labels side is left to the planner: AQE broadcasts it when it is
+    # small at run time, otherwise it is shuffled to match (message_id, n)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_lid"), "quality")
+    j = df.repartition(n, "message_id").join(
+        labels, (F.col("message_id") == F.col("_lid")) & (F.col("source") == "email"), "left")
+    return j.withColumn("label", F.when(F.col("source") == "email",
+                                        email_quality_label(F.col("quality")))
+                        .otherwise(F.col("label"))).drop("_lid", "quality")
+
+
 def msg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sources, e-mail first (P4 union_sources)."""
     from ..operators.prep import union_sources
