@@ -171,7 +171,8 @@ def _cut_bucket(rows: DataFrame, need: DataFrame, label: str) -> DataFrame:
 
 
 def split_exact(df: DataFrame, seed: int, test_size: float = 0.2,
-                label: str = "label_num", id_col: str = "message_id") -> DataFrame:
+                label: str = "label_num", id_col: str = "message_id",
+                materialize_cut: bool = True) -> DataFrame:
     """F8 exact mode: per class, the ``test_q`` rows with the smallest
     (key, id) go to test.
 
@@ -180,7 +181,9 @@ def split_exact(df: DataFrame, seed: int, test_size: float = 0.2,
     and finds the bucket holding the cut; level 2 does the same for the low
     16 bits inside that bucket only; the rows that share the resulting full
     32-bit key (hash collisions, a handful) are ranked by id. The per-class
-    cut (key, id) is broadcast (one row per class) into a narrow filter."""
+    cut (key, id) is broadcast (one row per class) into a narrow filter.
+    With ``materialize_cut`` the cut is written once as a tiny stage, so the
+    refinement jobs do not re-run in every later job that reads the split."""
     keyed = df.select(id_col, label, split_key(seed, id_col).alias("_k"))
     counts = keyed.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     need = class_quotas(counts, test_size, label).select(label, F.col("test_q").alias("_need"))
@@ -199,6 +202,9 @@ def split_exact(df: DataFrame, seed: int, test_size: float = 0.2,
               .withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(id_col))))
     cuts = (ranked.where(F.col("_r") == F.col("_need"))
             .select(label, F.col("_k").alias("_cut_k"), F.col(id_col).alias("_cut_id")))
+    if materialize_cut:
+        from ..sources.stage import checkpoint_stage
+        cuts = checkpoint_stage(cuts.coalesce(1), "split_cut")
     with_key = df.withColumn("_k", split_key(seed, id_col))
     return (with_key.join(F.broadcast(cuts), label, "left")
             .withColumn("is_test", F.coalesce(

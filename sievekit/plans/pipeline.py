@@ -65,14 +65,18 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
     m = m.select("message_id", "label_num", "message_length", "num_uppercase", "num_digits",
                  CLEANERS[cleaner]("original_text").alias("clean_text"))
     m = P.fill_null_text(m, "clean_text")           # P8 before vectorising
+    if materialize:
+        # rows are already hash-partitioned by message_id (label join)
+        m = checkpoint_stage(m, "messages", key="message_id", prepartitioned=True)
+    else:
+        m = partition_messages(m)
+    # both split modes keep the partitioning: a column, or a broadcast join
+    # of the one-row-per-class cut (the exact mode's passes read the stage)
     if split == "exact":
         m = FE.split_exact(m, seed, test_size)
     elif split == "threshold":
         m = FE.split_threshold(m, seed, test_size)
-    if materialize:
-        # rows are already hash-partitioned by message_id (label join)
-        return checkpoint_stage(m, "messages", key="message_id", prepartitioned=True)
-    return partition_messages(m)
+    return m
 
 
 def staged_term_counts(m: DataFrame, text_col: str = "clean_text") -> DataFrame:

@@ -449,8 +449,11 @@ def stratified_split(spark, sf_dir):
 @register("stratified_split_exact", with_(O.prepared_ctes(42, split="exact"),
                                           "SELECT message_id, label_num, is_test FROM prepared"))
 def stratified_split_exact(spark, sf_dir):
-    return FE.split_exact(PL.labelled_messages(spark, sf_dir), 42).select(
-        "message_id", "label_num", "is_test")
+    # the refinement passes re-read their input: stage it once
+    from ..sources.stage import checkpoint_stage
+    m = checkpoint_stage(PL.labelled_messages(spark, sf_dir).select("message_id", "label_num"),
+                         "split_in", key="message_id", prepartitioned=True)
+    return FE.split_exact(m, 42).select("message_id", "label_num", "is_test")
 
 
 @register("balanced_class_weights", with_(_PREP42, """
