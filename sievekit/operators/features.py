@@ -48,7 +48,7 @@ def build_vocabulary(train_tf: DataFrame, n_train, max_features: int | None = No
         stats = stats.orderBy(F.desc("total"), F.asc("term")).limit(max_features)
     n = n_train.scalar()
     return stats.select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
-                        .alias("idf"))
+                        .alias("idf"), "df")
 
 
 def count_rows(df: DataFrame, name: str = "n") -> DataFrame:
@@ -62,9 +62,10 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, max_features: int | None = No
     """tf*idf, each message's vector L2-normalised (out-of-vocabulary
     terms dropped). The vocabulary is broadcast only when it has a proven
     size bound (``max_features``); otherwise the join is salted on term."""
-    j = lookup_join(tf, vocab, ["term"], "inner", bound_rows=max_features,
-                    salt_from=F.xxhash64(id_col))
-    w = j.withColumn("w", F.col("tf") * F.col("idf"))
+    # df (messages per term) drives the salting of hot terms when unbounded
+    j = lookup_join(tf, vocab.select("term", "idf", "df"), ["term"], "inner",
+                    bound_rows=max_features, salt_from=F.xxhash64(id_col), key_rows="df")
+    w = j.drop("df").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, *keep, "term", (F.col("w") / norm).alias("weight"))
 

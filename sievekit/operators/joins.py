@@ -30,11 +30,46 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
     return big_s.join(small_s, on + ["_salt"], how).drop("_salt")
 
 
+ROWS_PER_SALT = 1_000_000
+HOT_KEYS_MAX = 10_000
+MAX_SALTS = 512
+
+
+def hot_key_salted_join(big: DataFrame, small: DataFrame, key: str, key_rows: str,
+                        how: str = "inner", salt_from: Column | None = None,
+                        rows_per_salt: int = ROWS_PER_SALT, hot_keys_max: int = HOT_KEYS_MAX) -> DataFrame:
+    """Shuffle join where only hot keys are salted.
+
+    ``small`` carries ``key_rows``: how many rows of ``big`` each key has
+    (e.g. a term's document frequency, known from the vocabulary job). A key
+    gets ceil(rows / rows_per_salt) salts (1 for ordinary keys), so a key
+    holding a third of all rows is spread over many tasks while the lookup
+    side is replicated only for those keys. The salt table is the top
+    ``hot_keys_max`` keys by rows (a proven bound), broadcast to both sides."""
+    salts = (F.least(F.lit(MAX_SALTS), F.ceil(F.col(key_rows) / F.lit(rows_per_salt)))
+             .cast("int"))
+    hot = (small.orderBy(F.desc(key_rows), F.asc(key)).limit(hot_keys_max)
+           .select(key, salts.alias("_salts")).where(F.col("_salts") > 1))
+    if salt_from is None:
+        salt_from = F.xxhash64(*[F.col(c) for c in big.columns])
+    big_s = (big.join(F.broadcast(hot), key, "left")
+             .withColumn("_salt", F.pmod(salt_from, F.coalesce("_salts", F.lit(1))).cast("int"))
+             .drop("_salts"))
+    small_s = (small.join(F.broadcast(hot), key, "left")
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0),
+                                                         F.coalesce("_salts", F.lit(1)) - 1)))
+               .drop("_salts"))
+    return big_s.join(small_s, [key, "_salt"], how).drop("_salt")
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
                 bound_rows: int | None = None, salts: int = DEFAULT_SALTS,
-                salt_from: Column | None = None) -> DataFrame:
-    """Broadcast when ``bound_rows`` (a proven upper bound) is small enough,
-    else a salted shuffle join."""
+                salt_from: Column | None = None, key_rows: str | None = None) -> DataFrame:
+    """Broadcast when ``bound_rows`` (a proven upper bound) is small enough;
+    else, when ``small`` knows each key's row count (``key_rows``), salt only
+    the hot keys; else salt every key."""
     if bound_rows is not None and bound_rows <= BROADCAST_MAX_ROWS:
         return big.join(F.broadcast(small), list(on), how)
+    if key_rows is not None and len(on) == 1:
+        return hot_key_salted_join(big, small, on[0], key_rows, how, salt_from)
     return salted_join(big, small, on, how, salts, salt_from)

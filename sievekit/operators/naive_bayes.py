@@ -19,7 +19,7 @@ from .joins import lookup_join
 
 @dataclass
 class NaiveBayesModel:
-    theta: DataFrame        # (feature, lt0, lt1)
+    theta: DataFrame        # (feature, lt0, lt1, n_rows = training messages with it)
     prior: DataFrame        # one row: (lp0, lp1)
     bound_rows: int | None  # proven bound of theta's size (for broadcast)
 
@@ -28,8 +28,10 @@ class NaiveBayesModel:
 
         With ``features`` partitioned by id and theta broadcast, the per-message
         sum has no exchange."""
+        # unbounded theta: salt only features present in many messages
         j = lookup_join(features, self.theta, ["feature"], "inner",
-                        bound_rows=self.bound_rows, salt_from=F.xxhash64(id_col))
+                        bound_rows=self.bound_rows, salt_from=F.xxhash64(id_col),
+                        key_rows="n_rows")
         s = j.groupBy(id_col).agg(F.sum(F.col("value") * F.col("lt0")).alias("s0"),
                                   F.sum(F.col("value") * F.col("lt1")).alias("s1"))
         # the prior is one row: read it as scalar subqueries, not a join
@@ -50,13 +52,14 @@ def fit_naive_bayes(train_features: DataFrame, train_labels: DataFrame,
     labelled = train_features
     sums = (labelled.groupBy("feature")
             .agg(F.sum(F.when(F.col(label) == 0, F.col("value")).otherwise(0.0)).alias("f0"),
-                 F.sum(F.when(F.col(label) == 1, F.col("value")).otherwise(0.0)).alias("f1")))
+                 F.sum(F.when(F.col(label) == 1, F.col("value")).otherwise(0.0)).alias("f1"),
+                 F.count(F.lit(1)).alias("n_rows")))
     a = F.lit(float(alpha))
     totals = sums.agg((F.sum("f0") + a * F.count(F.lit(1))).alias("t0"),
                       (F.sum("f1") + a * F.count(F.lit(1))).alias("t1"))
     t0, t1 = totals.select("t0").scalar(), totals.select("t1").scalar()
     theta = sums.select("feature", (F.log(F.col("f0") + a) - F.log(t0)).alias("lt0"),
-                        (F.log(F.col("f1") + a) - F.log(t1)).alias("lt1"))
+                        (F.log(F.col("f1") + a) - F.log(t1)).alias("lt1"), "n_rows")
     counts = train_labels.agg(F.count(F.when(F.col(label) == 0, 1)).alias("n0"),
                               F.count(F.when(F.col(label) == 1, 1)).alias("n1"))
     n = F.col("n0") + F.col("n1")
