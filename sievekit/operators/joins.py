@@ -37,7 +37,8 @@ MAX_SALTS = 512
 
 def hot_key_salted_join(big: DataFrame, small: DataFrame, key: str, key_rows: str,
                         how: str = "inner", salt_from: Column | None = None,
-                        rows_per_salt: int = ROWS_PER_SALT, hot_keys_max: int = HOT_KEYS_MAX) -> DataFrame:
+                        rows_per_salt: int | None = None,
+                        hot_keys_max: int | None = None) -> DataFrame:
     """Shuffle join where only hot keys are salted.
 
     ``small`` carries ``key_rows``: how many rows of ``big`` each key has
@@ -46,6 +47,8 @@ def hot_key_salted_join(big: DataFrame, small: DataFrame, key: str, key_rows: st
     holding a third of all rows is spread over many tasks while the lookup
     side is replicated only for those keys. The salt table is the top
     ``hot_keys_max`` keys by rows (a proven bound), broadcast to both sides."""
+    rows_per_salt = rows_per_salt or ROWS_PER_SALT
+    hot_keys_max = hot_keys_max or HOT_KEYS_MAX
     salts = (F.least(F.lit(MAX_SALTS), F.ceil(F.col(key_rows) / F.lit(rows_per_salt)))
              .cast("int"))
     hot = (small.orderBy(F.desc(key_rows), F.asc(key)).limit(hot_keys_max)
