@@ -84,7 +84,8 @@ def staged_term_counts(m: DataFrame, text_col: str = "clean_text") -> DataFrame:
     tf), written bucketed by message_id like the messages, so vocabulary, fit
     and scoring all read it without re-tokenising or shuffling the texts."""
     tf = FE.term_counts(m, text_col, keep=("label_num", "is_test"))
-    return checkpoint_stage(tf, "tf", key="message_id")
+    # the aggregate over the bucketed messages is already partitioned by id
+    return checkpoint_stage(tf, "tf", key="message_id", prepartitioned=True)
 
 
 def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,
