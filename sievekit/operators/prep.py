@@ -149,13 +149,15 @@ def plural_lemma_table(df: DataFrame, tokens_col: str) -> DataFrame:
     """A (form, lemma) table derived from the corpus itself: a token ending
     in a single ``s`` (longer than 3 letters) maps to the same word without
     the ``s`` when that word also occurs. Both sides are distinct token sets,
-    so the join key is unique per side (no skew)."""
-    vocab = df.select(F.explode(tokens_col).alias("tok")).distinct()
+    so the join key is unique per side (no skew). The table keeps each form's
+    occurrence count (``rows``) so the lookup can salt only hot forms."""
+    vocab = (df.select(F.explode(tokens_col).alias("tok"))
+             .groupBy("tok").agg(F.count(F.lit(1)).alias("rows")))
     forms = (vocab.where((F.length("tok") > 3) & F.col("tok").endswith("s")
                          & ~F.col("tok").endswith("ss"))
              .withColumn("lemma", F.expr("substring(tok, 1, length(tok) - 1)")))
-    return forms.join(vocab.withColumnRenamed("tok", "lemma"), "lemma").select(
-        F.col("tok").alias("form"), "lemma")
+    return forms.join(vocab.select(F.col("tok").alias("lemma")), "lemma").select(
+        F.col("tok").alias("form"), "lemma", "rows")
 
 
 def lemmatize_join(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: str = "message_id",
@@ -168,8 +170,9 @@ def lemmatize_join(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: st
     bounded by its own length)."""
     from .joins import lookup_join
     toks = df.select(id_col, F.posexplode(tokens_col).alias("_pos", "form"))
+    key_rows = "rows" if "rows" in lemmas.columns else None
     j = lookup_join(toks, lemmas, ["form"], "left", bound_rows=bound_rows,
-                    salt_from=F.xxhash64(id_col, "_pos"))
+                    salt_from=F.xxhash64(id_col, "_pos"), key_rows=key_rows)
     rebuilt = (j.groupBy(id_col)
                .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form")
                                                          .alias("_t")))).alias("_a"))
