@@ -26,7 +26,15 @@ CLEANERS = {
 }
 
 
-def labelled_messages(spark: SparkSession, sf_dir: str, source: str = "msg") -> DataFrame:
+def message_partitions(spark: SparkSession, sf_dir: str) -> int:
+    """Bucket count of the message stages, from the size of the inputs."""
+    from ..session import partitions_for
+    return partitions_for(spark, S.scan_splits(spark, sf_dir,
+                                               ("documents", "conversations", "labels")))
+
+
+def labelled_messages(spark: SparkSession, sf_dir: str, source: str = "msg",
+                      num_partitions: int | None = None) -> DataFrame:
     """Deduplicated, labelled messages with the T19 counts:
     (message_id, label, original_text, source, source_rank, label_num,
     message_length, num_uppercase, num_digits)."""
@@ -35,7 +43,8 @@ def labelled_messages(spark: SparkSession, sf_dir: str, source: str = "msg") ->
         # to the winning rows only (one shuffle by id, which the message
         # stage reuses); the winner's label is the same either way
         d = P.dedup_text_keep_first(S.msg_unlabelled(spark, sf_dir))
-        d = S.attach_email_labels(spark, sf_dir, P.drop_null_rows(d, ["original_text"]))
+        n = num_partitions or message_partitions(spark, sf_dir)
+        d = S.attach_email_labels(spark, sf_dir, P.drop_null_rows(d, ["original_text"]), n)
     else:
         base = {"email": S.msg_email, "sms": S.msg_sms}[source](spark, sf_dir)
         d = P.drop_null_rows(P.dedup_text_keep_first(base), ["original_text"])
@@ -61,15 +70,16 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
     ``message_id`` in the shared checkpoint folder (S8): the dedup shuffle
     runs once, lineage is cut (a lost executor re-reads files instead of
     re-running the dedup), and the per-message steps run without exchanges."""
-    m = labelled_messages(spark, sf_dir)
+    n = message_partitions(spark, sf_dir)
+    m = labelled_messages(spark, sf_dir, num_partitions=n)
     m = m.select("message_id", "label_num", "message_length", "num_uppercase", "num_digits",
                  CLEANERS[cleaner]("original_text").alias("clean_text"))
     m = P.fill_null_text(m, "clean_text")           # P8 before vectorising
     if materialize:
         # rows are already hash-partitioned by message_id (label join)
-        m = checkpoint_stage(m, "messages", key="message_id", prepartitioned=True)
+        m = checkpoint_stage(m, "messages", key="message_id", buckets=n, prepartitioned=True)
     else:
-        m = partition_messages(m)
+        m = partition_messages(m, n)
     # both split modes keep the partitioning: a column, or a broadcast join
     # of the one-row-per-class cut (the exact mode's passes read the stage)
     if split == "exact":
@@ -84,8 +94,10 @@ def staged_term_counts(m: DataFrame, text_col: str = "clean_text") -> DataFrame:
     tf), written bucketed by message_id like the messages, so vocabulary, fit
     and scoring all read it without re-tokenising or shuffling the texts."""
     tf = FE.term_counts(m, text_col, keep=("label_num", "is_test"))
-    # the aggregate over the bucketed messages is already partitioned by id
-    return checkpoint_stage(tf, "tf", key="message_id", prepartitioned=True)
+    # the aggregate over the bucketed messages is already partitioned by id,
+    # with one partition per message bucket
+    return checkpoint_stage(tf, "tf", key="message_id", buckets=m.rdd.getNumPartitions(),
+                            prepartitioned=True)
 
 
 def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,

@@ -451,8 +451,10 @@ def stratified_split(spark, sf_dir):
 def stratified_split_exact(spark, sf_dir):
     # the refinement passes re-read their input: stage it once
     from ..sources.stage import checkpoint_stage
-    m = checkpoint_stage(PL.labelled_messages(spark, sf_dir).select("message_id", "label_num"),
-                         "split_in", key="message_id", prepartitioned=True)
+    n = PL.message_partitions(spark, sf_dir)
+    m = checkpoint_stage(PL.labelled_messages(spark, sf_dir, num_partitions=n)
+                         .select("message_id", "label_num"),
+                         "split_in", key="message_id", buckets=n, prepartitioned=True)
     return FE.split_exact(m, 42).select("message_id", "label_num", "is_test")
 
 

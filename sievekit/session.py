@@ -59,6 +59,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def partitions_for(spark: SparkSession, splits: int) -> int:
+    """Partition (bucket) count for a message-level stage: one per input
+    split (a split is ~spark.sql.files.maxPartitionBytes of input), at least
+    one per core, at most the configured shuffle partitions. Small inputs get
+    few buckets, 100 TB gets the cluster's configured width."""
+    cores = spark.sparkContext.defaultParallelism
+    hi = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    return max(cores, min(hi, splits))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

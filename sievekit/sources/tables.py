@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return balance(reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
+def scan_splits(spark: SparkSession, sf_dir: str, names) -> int:
+    """Input splits of the raw scans of ``names`` (sizes the message stages)."""
+    return sum(spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet").rdd.getNumPartitions()
+               for n in names)
+
+
 def balance(df: DataFrame) -> DataFrame:
     """Spread an under-split input over the cluster's cores.
 
