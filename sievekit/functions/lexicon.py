@@ -6,7 +6,6 @@ are stated plainly, in natural order.
 
 from __future__ import annotations
 
-import unicodedata  # noqa: F401  (documents where the digit rule comes from)
 
 # --- fixed values -----------------------------------------------------------
 # English stop words (the classic 179-word list shipped with the common NLP

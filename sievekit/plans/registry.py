@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lexicon import CLASS_NAMES
 from ..operators import evaluate as E
 from ..operators import experiments as X
 from ..operators import features as FE

@@ -1,6 +1,5 @@
 """Golden literals for the text functions."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from sievekit.functions import text as T
