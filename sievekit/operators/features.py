@@ -1,7 +1,7 @@
 """Feature engineering over the corpus (F1-F10), long-table form.
 
 Messages are expected hash-partitioned by ``message_id`` (see
-``plans.pipeline.partition_messages``): then every per-message step here
+``plans.messages.partition_messages``): then every per-message step here
 (term counts, row norms, scoring sums) runs without another exchange, and
 only term-keyed aggregates shuffle, after map-side partial aggregation.
 """

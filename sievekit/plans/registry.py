@@ -25,7 +25,7 @@ from ..sources import files as FI
 from ..sources import standins as ST
 from ..sources import tables as S
 from . import oracle as O
-from . import pipeline as PL
+from . import messages as PL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -40,7 +40,7 @@ def pred_rule(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = Non
     """Predictions contract rows: each run's test split (F8 threshold mode,
     per-run seed) scored by each rule model."""
     if labelled is None:
-        from ..plans.pipeline import labelled_messages
+        from ..plans.messages import labelled_messages
         labelled = labelled_messages(spark, sf_dir)
     base = labelled.select("message_id", "label_num", "message_length", "num_uppercase",
                            "num_digits")

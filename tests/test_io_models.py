@@ -9,7 +9,7 @@ from sievekit.operators import experiments as X
 from sievekit.operators import features as FE
 from sievekit.operators import mllib as ML
 from sievekit.operators import scoring as SC
-from sievekit.plans import pipeline as PL
+from sievekit.plans import messages as PL
 from sievekit.sources import files as FI
 from sievekit.sources.stage import checkpoint_stage
 from sievekit.streaming import scoring as STR

@@ -6,7 +6,7 @@ from sievekit.operators import evaluate as E
 from sievekit.operators import features as FE
 from sievekit.operators import prep as P
 from sievekit.operators import scoring as SC
-from sievekit.plans import pipeline as PL
+from sievekit.plans import messages as PL
 from sievekit.sources import standins as ST
 from sievekit.sources import tables as S
 from tests.conftest import SF_MID, SF_SMALL
