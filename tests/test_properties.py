@@ -108,3 +108,16 @@ def test_vocabulary_broadcast_only_with_bound(spark):
     pu = unbounded._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in pb
     assert "_salt" in pu
+
+
+def test_message_preparation_shuffles_texts_twice(spark):
+    """Dedup exchange on the text key, then one exchange by message_id for the
+    label join (which the bucketed stage reuses); nothing else by key."""
+    m = PL.prepared(spark, SF_SMALL, materialize=False, split="none")
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    hashed = [line for line in plan.splitlines()
+              if "Exchange hashpartitioning" in line and "BroadcastExchange" not in line]
+    on_text = [h for h in hashed if "original_text" in h]
+    on_id = [h for h in hashed if "hashpartitioning(message_id" in h]
+    assert len(on_text) == 1 and len(on_id) == 1, hashed
+    assert len(hashed) <= 3, hashed      # + the labels side when it is not broadcast
