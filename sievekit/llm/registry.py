@@ -1,9 +1,13 @@
 """Queries of the package: one per operator, and the pipeline."""
 
-from . import license_scan, line_dedup, quality_rules
+from . import language_id, license_scan, line_dedup, mixing, quality_pairs, quality_rules, token_output
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op3_quality_pairs": quality_pairs.op3_quality_pairs,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_token_output": token_output.op6_token_output,
+    "op7_language_id": language_id.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
