@@ -1,15 +1,22 @@
 """Queries of the package: one per operator, and the pipeline."""
 
-from . import language_id, license_scan, line_dedup, mixing, quality_pairs, quality_rules, token_output
+import corpus_pipeline
+
+from . import (decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, quality_pairs, quality_rules,
+               suffix_dedup, token_output)
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_pairs": quality_pairs.op3_quality_pairs,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_token_output": token_output.op6_token_output,
     "op7_language_id": language_id.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
@@ -17,3 +24,5 @@ SQL = {
     "op8_line_dedup": line_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
