@@ -10,10 +10,15 @@
    PROBE - SHARE + 1 of each is common to both. The frequent values of passages
    that many documents share are the ones left out; values of one document
    open no list.
-3. Lists generate overlaps in rounds that lose no link between components and
-   do not emit a list's square: every member is first compared with its list's
-   centre (smallest id); then only members whose centre-components differ are
-   paired, and only with sizes that allow the similarity.
+3. Lists generate overlaps in two rounds that lose no link between components
+   and do not emit a list's square. First every member is compared with its
+   list's centre, the member whose values are the most common ones, and so the
+   likeliest to be near all others. Then only members of different components
+   are paired, and only with sizes that allow the similarity: directly in lists
+   of at most ``SMALL`` members; documents of longer lists are listed anew by
+   the rarest shingles of their full sets, where two sets of the similarity
+   must meet before a seventh of either is passed. That is exact as well, and
+   leaves documents out that share a passage and little else.
 4. Each pair is estimated on the bottom-``K`` of the union of its sketches; a
    pair of similarity 0.75 falls below the filter with a chance under 1e-7.
 5. Exact Jaccard on full sets: texts are dealt by (centre, salt) and streamed
@@ -47,6 +52,7 @@ PROBE = 32
 SHARE = 10
 FILTER = 0.45
 GROUP = 256
+SMALL = 64
 NO_ID = -(1 << 63)
 
 
@@ -81,19 +87,42 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def inverted_lists(reps: DataFrame) -> DataFrame:
-    """(v, id, n): the lists of retained values, rarest values of each set first."""
+    """(v, id, n, common): the lists of retained values, rarest values of each
+    set first; common: mean log of the lists' lengths over the set's values."""
     posts = reps.select("id", "n", F.explode(F.slice("sketch", 1, PROBE)).alias("v"))
     shared = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     taken = F.least(F.col("n"), F.lit(PROBE))
     need = F.least(F.lit(SHARE), F.ceil(F.col("n") * PERCENT / 100))
     # values of this set alone come first in the order, and open no list
     left = taken - need + 1 - (taken - F.size("_vs"))
-    lists = (posts.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("_vs"))
+    lists = (posts.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("_vs"), F.sum(F.log("df")).alias("_l"))
              .withColumn("_left", left.cast("int")).where("_left > 0")
-             .select("id", "n", F.explode(F.slice("_vs", F.lit(1), F.col("_left"))).alias("_x")).select(F.col("_x.v").alias("v"), "id", "n"))
+             .select("id", "n", F.round(F.col("_l") / taken, 6).alias("common"), F.explode(F.slice("_vs", F.lit(1), F.col("_left"))).alias("_x"))
+             .select(F.col("_x.v").alias("v"), "id", "n", "common"))
     return checkpoint_stage(lists, "near_lists")
 
 
+def exact_lists(texts: DataFrame) -> DataFrame:
+    """(v, id, n, at): the lists of the rarest shingles of the full sets of
+    (id, text); at: the shingle's place in the set, rarest first. Two sets with
+    the similarity share one of the first n - ceil(0.75 n) + 1 of each."""
+    def explode(batches):
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("id").to_numpy(zero_copy_only=False)
+                for r, s in shingle_sets(batch.column("text")):
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), ids[r])), pa.array(np.full(len(s), len(s)))], names=["v", "id", "n"])
+
+    sets = checkpoint_stage(texts.select("id", "text").mapInArrow(explode, "v long, id long, n long"), "near_sets")
+    shared = sets.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    alone = F.col("n") - F.size("_vs")
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    return (sets.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("_vs"))
+            .withColumn("_alone", alone).withColumn("_left", (first - F.col("_alone")).cast("int")).where("_left > 0")
+            .select("id", "n", "_alone", F.posexplode(F.slice("_vs", F.lit(1), F.col("_left"))).alias("_p", "_x"))
+            .select(F.col("_x.v").alias("v"), "id", "n", (F.col("_alone") + F.col("_p")).alias("at")))
+
+
 def sizes_fit(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
@@ -162,6 +191,15 @@ def components(edges: DataFrame) -> DataFrame:
     return root if root is not None else edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
 
 
+def cross_pairs(lists: DataFrame, more: Column) -> DataFrame:
+    """Pairs (a, b) of each list (v, id, n, label, ...) whose labels differ and
+    whose sizes fit; ``more``: a further condition on the sides x and y."""
+    x, y = lists.alias("x"), lists.alias("y")
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+                   & sizes_fit(F.col("x.n"), F.col("y.n")) & more)
+            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+
+
 def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links that connect every component of the representatives."""
     lists = inverted_lists(reps)
@@ -169,24 +207,23 @@ def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     reps = checkpoint_stage(reps.join(ids, "id", "left_semi").select("id", "sketch"), "near_cand")
     texts = checkpoint_stage(texts.join(ids, "id", "left_semi"), "near_texts")
     # round 1: members against the centre of each of their lists
-    centre = lists.groupBy("v").agg(F.min(F.struct("id", "n")).alias("_c")).select("v", F.col("_c.id").alias("a"), F.col("_c.n").alias("_n"))
-    stars = (lists.join(centre, "v").where((F.col("id") != F.col("a")) & sizes_fit(F.col("n"), F.col("_n")))
-             .select("a", F.col("id").alias("b")).distinct())
+    centre = lists.groupBy("v").agg(F.min(F.struct(-F.col("common"), "id", "n")).alias("_c")).select("v", F.col("_c.id").alias("a"), F.col("_c.n").alias("_n"))
+    stars = checkpoint_stage(lists.join(centre, "v").where((F.col("id") != F.col("a")) & sizes_fit(F.col("n"), F.col("_n")))
+                             .select("a", F.col("id").alias("b")).distinct(), "near_stars")
     first = verified(estimated(stars, reps), texts)
-    # a label that only documents of one component share: centre of centre
-    up = first.groupBy("b").agg(F.min("a").alias("up"))
-    label = checkpoint_stage(up.join(up.select(F.col("b").alias("up"), F.col("up").alias("_top")), "up", "left")
-                             .select(F.col("b").alias("id"), F.coalesce("_top", "up").alias("label")), "near_labels")
-    # round 2: the pairs of each list whose labels differ
+    label = components(first.select("a", "b")).withColumnRenamed("root", "label")
+    # round 2: members of different components
     marked = checkpoint_stage(lists.join(label, "id", "left").select("v", "id", "n", F.coalesce("label", "id").alias("label")), "near_marked")
-    mixed = marked.groupBy("v").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.min("id").alias("_c")).where("_l != _m").select("v", "_c")
-    rest = marked.join(mixed, "v")
-    x = rest.select("v", "_c", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("label").alias("_l"))
-    y = rest.select("v", F.col("id").alias("b"), "n", "label")
-    # pairs with the list's centre were compared in round 1
-    cross = (x.join(y, "v").where((F.col("a") < F.col("b")) & (F.col("_l") != F.col("label")) & (F.col("a") != F.col("_c")) & sizes_fit(F.col("_n"), F.col("n")))
-             .select("a", "b").distinct())
-    return first.unionByName(verified(estimated(cross, reps), texts))
+    mixed = marked.groupBy("v").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.count(F.lit(1)).alias("_n")).where("_l != _m")
+    small = marked.join(mixed.where(F.col("_n") <= SMALL).select("v"), "v", "left_semi")
+    hot = checkpoint_stage(marked.join(mixed.where(F.col("_n") > SMALL).select("v"), "v", "left_semi").select("id", "label").distinct(), "near_hot")
+    long_ = checkpoint_stage(exact_lists(texts.join(hot, "id", "left_semi")).join(hot, "id"), "near_exact_lists")
+    # what two sets must share, and can still share from the place of their first common shingle on
+    need = (F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT)
+    still = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
+    cross = cross_pairs(small, F.lit(True)).unionByName(cross_pairs(long_, still)).distinct()
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return first.unionByName(verified(estimated(cross.join(done, ["a", "b"], "left_anti"), reps), texts))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
