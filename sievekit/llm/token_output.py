@@ -11,7 +11,7 @@ The index is a Parquet table (file_no, record_no, doc_id, byte_offset, n_bytes,
 n_tokens, start), so any record can be read by itself, in any order.
 
 Encoding: a text is cut where ASCII white space follows a character that is
-not white space. The pre-tokenizer always cuts there, so the text's ids are
+not white space, and where an ASCII mark follows an ASCII letter or digit. The pre-tokenizer always cuts there, so the text's ids are
 the ids of its chunks in order; chunks repeat, so each distinct one of a slice
 is encoded once by the tokenizer and its ids are gathered for all places.
 
@@ -39,7 +39,8 @@ from ..sources.stage import checkpoint_stage
 from .arrays import ASCII_SPACE, buffers, gather, prefix, slices, span_hash
 
 HEADER = b"SIEVEIDS"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
+SLICE = 2 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -68,51 +69,115 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the chunks: rows' starts, and ASCII white space after a
-    character that no regex engine counts as white space."""
+ALNUM = np.zeros(256, bool)
+ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
+MARK = np.zeros(256, bool)
+MARK[0x21:0x7F] = True
+MARK &= ~ALNUM
+MARK[0x27] = False
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray, marks: np.ndarray = MARK) -> np.ndarray:
+    """Starts of the chunks: rows' starts, ASCII white space after a character
+    that no regex engine counts as white space, and ASCII marks (but for the
+    apostrophe of contractions) after an ASCII letter or digit."""
     space = ASCII_SPACE[data]
     p1, p2, p3 = (np.concatenate([np.zeros(k, np.uint8), data])[:len(data)] for k in (1, 2, 3))
     # separators beyond ASCII end in these bytes: C2 85, C2 A0, E1 9A 80, E2 80 xx, E2 81 9F, E3 80 80
     other = ((p2 == 0xC2) & ((p1 == 0x85) | (p1 == 0xA0))) | ((p3 >= 0xE1) & (p3 <= 0xE3) & np.isin(p2, [0x9A, 0x80, 0x81])) | (p1 < 0x21)
-    cut = space & ~other
+    cut = (space & ~other) | (marks[data] & ALNUM[p1])
     first = offsets[:-1][np.diff(offsets) > 0]
     cut[first] = True
     return np.flatnonzero(cut)
 
 
+#: Bytes that a plain chunk has none of after its first: controls, white space,
+#: and the lead bytes of the separators beyond ASCII.
+NOT_PLAIN = np.zeros(256, bool)
+NOT_PLAIN[:0x21] = True
+NOT_PLAIN[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 class ChunkEncoder:
-    """Encodes slices of texts, keeping the ids of chunks seen before."""
+    """Encodes slices of texts; distinct chunks are encoded once and kept.
+
+    Plain chunks (at most one space, then no white space) go to the tokenizer
+    in long texts, joined by line ends: the pre-tokenizer takes a line end
+    before a space or a word as a token of its own, so the ids are split at its
+    id. Other chunks are encoded one by one."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.marks = MARK.copy()  # no cut within the strings of added tokens
+        for added in self.tok.get_added_tokens_decoder().values():
+            self.marks[list(added.content.encode())] = False
+        ids = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        self.line = ids("\n")
+        self.joins = len(self.line) == 1 and ids("a1\n b!\nc\n,d") == ids("a1") + self.line + ids(" b!") + self.line + ids("c") + self.line + ids(",d")
         self.clear()
 
     def clear(self):
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.place = np.zeros(0, np.int64)  # of each key, among the rows of (table, bounds)
+        self.table, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode_joined(self, data, start, end) -> tuple[np.ndarray, np.ndarray]:
+        size = end - start
+        at = np.cumsum(size + 1)
+        out = np.full(at[-1], 10, np.uint8)
+        inside = np.ones(at[-1], bool)
+        inside[at - 1] = False
+        out[inside] = data[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+        # texts of about 64 KB, cut after a line end
+        cuts = np.unique(np.append(np.searchsorted(at, np.arange(65536, at[-1], 65536)), len(at) - 1))
+        raw, lo, texts = out.tobytes(), 0, []
+        for c in cuts:
+            texts.append(raw[lo:at[c]].decode("utf-8", "replace"))
+            lo = at[c]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)])
+        stop = np.flatnonzero(ids == self.line[0])
+        if len(stop) != len(size):
+            raise ValueError("a line end was not a token of its own")
+        return ids[ids != self.line[0]], np.append(0, stop - np.arange(len(stop)))
+
+    def _encode_single(self, data, start, end) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(start.tolist(), end.tolist())]
+        own = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(own), np.append(0, np.cumsum([len(x) for x in own]))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the rows."""
-        start = chunk_starts(data, offsets)
+        start = chunk_starts(data, offsets, self.marks)
         end = np.append(start[1:], len(data))
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         key, first, which = np.unique(span_hash(prefix(data), start, end), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.keys) > CACHE_CHUNKS:
             self.clear()
-        keys = key.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if new:
-            raw = data.tobytes()
-            texts = [raw[start[j]:end[j]].decode("utf-8", "replace") for j in first[new]]
-            for i, e in zip(new, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[keys[i]] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.uint32))
-        own = [self.ids[self.known[k]] for k in keys]
-        table = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-        ids, chunk_bounds = gather(table, bounds, which)
+        at = np.searchsorted(self.keys, key)
+        new = np.ones(len(key), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != key
+        if new.any():
+            s, e, k = start[first[new]], end[first[new]], key[new]
+            odd = np.append(0, np.cumsum(NOT_PLAIN[data]))
+            plain = (odd[e] == odd[s + 1]) & ((data[s] == 0x20) & (e - s > 1) | ~NOT_PLAIN[data[s]])
+            if not self.joins:
+                plain[:] = False
+            for group, encode in ((plain, self._encode_joined), (~plain, self._encode_single)):
+                if group.any():
+                    ids, bounds = encode(data, s[group], e[group])
+                    self.keys = np.append(self.keys, k[group])
+                    self.place = np.append(self.place, len(self.bounds) - 1 + np.arange(len(bounds) - 1))
+                    self.bounds = np.append(self.bounds, bounds[1:] + len(self.table))
+                    self.table = np.append(self.table, ids)
+            order = np.argsort(self.keys, kind="stable")
+            self.keys, self.place = self.keys[order], self.place[order]
+        rows = self.place[np.searchsorted(self.keys, key)]
+        ids, chunk_bounds = gather(self.table, self.bounds, rows[which])
         return ids, chunk_bounds[np.searchsorted(start, offsets)]
 
 
@@ -138,7 +203,7 @@ def _writer(tokenizer: str, folder: str, end_id: int):
                 out.write(HEADER + coder.width.to_bytes(8, "little"))
             data, offsets = buffers(batch.column("text"))
             rows = []
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 piece = data[offsets[a]:offsets[b]]
                 ids, bounds = coder.encode(piece, offsets[a:b + 1] - offsets[a])
                 ids = ids.astype(dtype)
