@@ -109,12 +109,12 @@ def results_table(pred: DataFrame, hyper: DataFrame | None = None,
 def bump_model_version(spark: SparkSession, registry_path: str) -> int:
     """M9: version = old max + 1 (absent -> 1), appended as a new row of a
     parquet registry table in the shared folder; returns the new version."""
-    from pyspark.errors import AnalysisException
     schema = "version long"
-    try:
+    path = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         cur = spark.read.schema(schema).parquet(registry_path)
         nxt = cur.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
-    except AnalysisException:
+    else:
         nxt = spark.createDataFrame([(1,)], schema)
     row = nxt.collect()[0]     # one row
     spark.createDataFrame([(row.version,)], schema).write.mode("append").parquet(registry_path)

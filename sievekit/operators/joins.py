@@ -31,28 +31,23 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str =
 
 
 ROWS_PER_SALT = 1_000_000
-HOT_KEYS_MAX = 10_000
-MAX_SALTS = 512
 
 
 def hot_key_salted_join(big: DataFrame, small: DataFrame, key: str, key_rows: str,
                         how: str = "inner", salt_from: Column | None = None,
-                        rows_per_salt: int | None = None,
-                        hot_keys_max: int | None = None) -> DataFrame:
+                        rows_per_salt: int | None = None) -> DataFrame:
     """Shuffle join where only hot keys are salted.
 
     ``small`` carries ``key_rows``: how many rows of ``big`` each key has
     (e.g. a term's document frequency, known from the vocabulary job). A key
     gets ceil(rows / rows_per_salt) salts (1 for ordinary keys), so a key
     holding a third of all rows is spread over many tasks while the lookup
-    side is replicated only for those keys. The salt table is the top
-    ``hot_keys_max`` keys by rows (a proven bound), broadcast to both sides."""
+    side is replicated only for those keys. Every key above the target is
+    salted. The salt table holds at most rows / rows_per_salt keys (each has
+    more rows than that), which bounds its broadcast: 1e13 rows, 1e7 keys."""
     rows_per_salt = rows_per_salt or ROWS_PER_SALT
-    hot_keys_max = hot_keys_max or HOT_KEYS_MAX
-    salts = (F.least(F.lit(MAX_SALTS), F.ceil(F.col(key_rows) / F.lit(rows_per_salt)))
-             .cast("int"))
-    hot = (small.orderBy(F.desc(key_rows), F.asc(key)).limit(hot_keys_max)
-           .select(key, salts.alias("_salts")).where(F.col("_salts") > 1))
+    salts = F.ceil(F.col(key_rows) / F.lit(rows_per_salt)).cast("int")
+    hot = small.select(key, salts.alias("_salts")).where(F.col("_salts") > 1)
     if salt_from is None:
         salt_from = F.xxhash64(*[F.col(c) for c in big.columns])
     big_s = (big.join(F.broadcast(hot), key, "left")

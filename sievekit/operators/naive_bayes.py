@@ -66,3 +66,22 @@ def fit_naive_bayes(train_features: DataFrame, train_labels: DataFrame,
     prior = counts.select((F.log("n0") - F.log(n)).alias("lp0"),
                           (F.log("n1") - F.log(n)).alias("lp1"))
     return NaiveBayesModel(theta, prior, bound_rows)
+
+
+# -- M8 for this model: the whole scorer ------------------------------------------------------
+
+def save_scorer(fitted, model: NaiveBayesModel, path: str) -> None:
+    """Vocabulary with idf, min/max, class tables and their bounds under
+    ``path``: all that scoring raw messages needs."""
+    spark = model.theta.sparkSession
+    bounds = spark.createDataFrame([(fitted.max_features, model.bound_rows)], "max_features long, bound_rows long")
+    for name, df in (("vocab", fitted.vocab), ("scale", fitted.scale), ("theta", model.theta), ("prior", model.prior), ("bounds", bounds)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_scorer(spark, path: str):
+    """(FittedFeatures, NaiveBayesModel) as saved."""
+    from .features import FittedFeatures
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    b = read("bounds").first()
+    return FittedFeatures(read("vocab"), read("scale"), b.max_features), NaiveBayesModel(read("theta"), read("prior"), b.bound_rows)

@@ -127,20 +127,24 @@ def class_balance(df: DataFrame, by: Sequence[str] = ("split", "label")) -> Data
 
 def assign_row_ids(df: DataFrame, order: Sequence[str], col: str = "id",
                    start: int = 0) -> DataFrame:
-    """Dense 0-based ids in ``order`` without a single-partition window:
-    a range-partitioned sort, per-partition counts (one row per partition,
-    a bounded broadcast) and a local row number. Used by S5 and I4."""
-    sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_df = sorted_df.withColumn("_pid", F.spark_partition_id())
-    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(
-            Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_pid").orderBy(*order)
-    return (sorted_df.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(col, (F.lit(start) + F.col("_off") + F.row_number().over(w) - 1)
-                        .cast("long"))
-            .drop("_pid", "_off"))
+    """Dense 0-based ids in ``order`` without a single-partition window: one
+    range-partitioned sort, written once with each row's partition and position
+    (``monotonically_increasing_id``: partition in the high bits, position in
+    the low 33), then the rows before each partition (one row per partition, a
+    bounded broadcast) added. Rows and counts read the same written stage, so
+    both see the same partitions. Used by S5 and I4."""
+    from ..sources.stage import checkpoint_stage
+    ranked = checkpoint_stage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_mid", F.monotonically_increasing_id()), "row_ids")
+    ranked = ranked.withColumns({"_pid": F.shiftright("_mid", 33),
+                                 "_pos": F.col("_mid").bitwiseAND((1 << 33) - 1)})
+    counts = ranked.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (ranked.join(F.broadcast(offsets), "_pid")
+            .withColumn(col, (F.lit(start) + F.col("_off") + F.col("_pos")).cast("long"))
+            .drop("_mid", "_pid", "_pos", "_off"))
 
 
 # -- T15 relational form ---------------------------------------------------------------------

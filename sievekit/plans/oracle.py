@@ -25,7 +25,7 @@ msg_email AS (
          d.text AS original_text, 'email' AS source, 0 AS source_rank
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 msg_sms AS (
-  SELECT 1000000000 + conv_id * 1000 + turn AS message_id,
+  SELECT 4611686018427387904 + conv_id * 16777216 + turn AS message_id,
          CASE WHEN role = 'user' THEN 'spam' ELSE 'ham' END AS label,
          text AS original_text, 'sms' AS source, 1 AS source_rank
   FROM conversations),

@@ -20,7 +20,8 @@ from ..operators import features as FE
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import scoring as SC
-from ..operators.naive_bayes import fit_naive_bayes
+from ..operators.naive_bayes import fit_naive_bayes, load_scorer, save_scorer
+from ..session import shared_path
 from ..sources import files as FI
 from ..sources import standins as ST
 from ..sources import tables as S
@@ -803,7 +804,10 @@ def _nb_fitted(spark, sf_dir):
     fitted = FE.fit_features(train, "clean_text", 3000, tf=tf)
     model = fit_naive_bayes(fitted.transform(train, "clean_text", keep=("label_num",), tf=tf),
                             train.select("message_id", "label_num"), bound_rows=3003)
-    return fitted, model
+    # saved and read back: the statistics are computed once, not by each scoring batch
+    path = shared_path(spark, "nb_scorer")
+    save_scorer(fitted, model, path)
+    return load_scorer(spark, path)
 
 
 _SCORE_SQL = with_(_NB + "," + _LINES_SQL + f""",
@@ -850,9 +854,10 @@ def score_stream(spark, sf_dir):
     from ..streaming.scoring import read_sink, score_stream as start
     fitted, model = _nb_fitted(spark, sf_dir)
     src, sink, ck = (shared_path(spark, n) for n in ("score-src", "score-sink", "score-ckpt"))
-    _upload_lines(spark, sf_dir).select("id", "texto").write.parquet(src)
+    _upload_lines(spark, sf_dir).select("id", "texto").repartition(3).write.parquet(src)
     q = start(spark, src, "id long, texto string",
-              lambda b: SC.score_table(b, fitted, model, T.clean_text_browser), sink, ck)
+              lambda b: SC.score_table(b, fitted, model, T.clean_text_browser), sink, ck,
+              max_files_per_trigger=1)
     q.awaitTermination()
     return read_sink(spark, sink).select("id", "texto", "esSpam", r6("score").alias("score"))
 
@@ -864,13 +869,13 @@ def corrections_stream(spark, sf_dir):
     """I6 stream form: correction clicks arriving as files, click counts in
     the state store, changed labels emitted per micro-batch."""
     from ..session import shared_path
-    from ..streaming.scoring import corrections_stream as start, read_sink
+    from ..streaming.scoring import corrections_stream as start, latest_corrections
     src, sink, ck = (shared_path(spark, n) for n in ("clicks-src", "clicks-sink", "clicks-ckpt"))
-    ST.flips(spark, sf_dir).select("id").write.parquet(src)
-    q = start(spark, src, ST.mailbox_t(spark, sf_dir), sink, ck)
+    # four files, one per micro-batch: most ids are clicked in several of them
+    ST.flips(spark, sf_dir).select("id").repartition(4).write.parquet(src)
+    q = start(spark, src, ST.mailbox_t(spark, sf_dir), sink, ck, max_files_per_trigger=1)
     q.awaitTermination()
-    out = read_sink(spark, sink)
-    return out.where("changed").select("id", "texto_anonimizado", "etiqueta_correcta", "estado")
+    return latest_corrections(spark, sink).select("id", "texto_anonimizado", "etiqueta_correcta", "estado")
 
 
 # ---------------------------------------------------------------------------------------

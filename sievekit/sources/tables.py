@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import DRIVER
 
-SMS_ID_BASE = 1_000_000_000
+# An sms id is bit 62, then 38 bits of conv_id, then 24 bits of turn: apart from
+# every doc_id below 2^62 and from every other (conv_id, turn) in range.
+SMS_ID_BASE = 1 << 62
+TURNS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +64,7 @@ def msg_sms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as SMS: user turns are 'spam' (synthetic), others 'ham'."""
     conv = table(spark, sf_dir, "conversations")
     return conv.select(
-        (F.lit(SMS_ID_BASE) + F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
+        (F.lit(SMS_ID_BASE) + F.col("conv_id") * TURNS + F.col("turn")).alias("message_id"),
         F.when(F.col("role") == "user", "spam").otherwise("ham").alias("label"),
         F.col("text").alias("original_text"),
         F.lit("sms").alias("source"),

@@ -48,12 +48,16 @@ def score_stream(spark: SparkSession, source_dir: str, schema, score: Callable[[
 
 
 def corrections_stream(spark: SparkSession, clicks_dir: str, mailbox: DataFrame, sink_dir: str,
-                       checkpoint_dir: str, available_now: bool = True) -> StreamingQuery:
+                       checkpoint_dir: str, available_now: bool = True,
+                       max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Correction clicks (files with a column ``id``) -> running click
     count per id (state store) -> for every id clicked in the batch, its
     current label as (id, texto_anonimizado, etiqueta_correcta, estado,
     changed); ``changed`` = differs from the stored label (odd clicks)."""
-    clicks = spark.readStream.schema("id long").parquet(clicks_dir)
+    reader = spark.readStream.schema("id long")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    clicks = reader.parquet(clicks_dir)
     counts = clicks.groupBy("id").agg(F.count(F.lit(1)).alias("clicks"))
 
     def changed(batch: DataFrame) -> DataFrame:
@@ -71,6 +75,15 @@ def corrections_stream(spark: SparkSession, clicks_dir: str, mailbox: DataFrame,
     return w.start()
 
 
+def latest_corrections(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The feed after all batches: of each id the row of its last batch, if
+    its label is changed in it. An id clicked back in a later batch leaves."""
+    rows = read_sink(spark, sink_dir)
+    cols = [c for c in rows.columns if c not in ("id", "batch_id")]
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*cols), "batch_id").alias("_r"))
+    return last.select("id", *[F.col(f"_r.{c}").alias(c) for c in cols]).where("changed").drop("changed")
+
+
 def read_sink(spark: SparkSession, sink_dir: str, schema: str | None = None) -> DataFrame:
     reader = spark.read
     if schema:

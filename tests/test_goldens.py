@@ -11,6 +11,7 @@ MODELS = ["Logistic Regression", "Naive Bayes", "Support Vector Machine", "Rando
 
 # Published experiment table (run, model, accuracy, precision, recall, f1, auc,
 # tp, fp, tn, fn, is_best_model, is_production_model).
+# The published result rows, means and log.
 PUBLISHED = [
     ("run_01_seed42", "Logistic Regression", 0.94995, 0.856305, 0.996587, 0.921136, 0.996224, 292, 49, 657, 1, False, False),
     ("run_01_seed42", "Naive Bayes", 0.91992, 0.986301, 0.737201, 0.84375, 0.995548, 216, 3, 703, 77, True, True),
