@@ -58,17 +58,16 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Da
 def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """``docs`` with its text without repeated lines, plus n_lines and n_dropped."""
     lost = dropped_lines(docs, min_chars, min_docs)
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(lost, ["_id", "_row"], "left")
-    n_lines = F.size("_lines").cast("long")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.struct("*").alias("_doc"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_row"), text.alias("_text"))
+    joined = keyed.join(lost, ["_id", "_row"], "left").withColumn("_lines", split_lines(F.col("_text")))
     # array_except works on a hash set: linear in the lines of a document
-    kept = F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(
+    kept = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop"),
         lambda p: F.get(F.col("_lines"), p)), "\n"))
-    return (joined.withColumn("_lines", split_lines(F.col("text")))
-            .withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"), "text": kept})
-            .withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
-            .drop("_id", "_row", "_drop", "_lines"))
+    own = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    return joined.select(*own, kept.alias("text"), F.size("_lines").cast("long").alias("n_lines"),
+                         F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -148,14 +148,16 @@ def apply_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; a copy that
     the quota cuts short keeps its first words, with its own white space."""
     mix = mix_sources(docs).select(F.col("doc_id").alias("_id"), "row_key", "full", "rest", "size").dropDuplicates(["_id", "row_key"])
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(mix, rows["doc_id"].eqNullSafe(mix["_id"]) & (rows["_key"] == mix["row_key"]))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), F.coalesce("text", F.lit("")).alias("_text"))
+    joined = rows.join(mix, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("row_key")))
+    # -1: a whole copy; else the words of a copy cut short
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("size") > 0, F.col("full")).otherwise(0).cast("int")),
                       F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<long>")))
     # words and the white space before them: the first ``rest`` pairs
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_copy").cast("int")), "")
-    out = joined.withColumn("_copy", F.explode(copies))
-    out = out.withColumn("text", F.when((F.col("_copy") >= 0) & (F.col("_copy") < F.col("size")), cut).otherwise(F.col("text")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_copy").cast("int")), "")
+    short = (F.col("_copy") >= 0) & (F.col("_copy") < F.col("size"))
+    out = joined.withColumn("_copy", F.explode(copies)).withColumn("_cut", F.when(short, cut))
+    new = {"text": F.coalesce("_cut", "_doc.text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(short, F.length("_cut")).otherwise(F.col("_doc.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))

@@ -114,8 +114,9 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that no rule rejects, columns unchanged."""
-    return quality_rules(docs.select("*")).where("kept").select(*docs.columns)
+    """Pipeline stage: the documents that no rule rejects, columns unchanged
+    (they are kept apart from the measures, whatever their names)."""
+    return quality_rules(docs.select(F.struct("*").alias("_doc"), "text")).where("kept").select("_doc.*")
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
