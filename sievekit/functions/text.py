@@ -20,6 +20,7 @@ from .lexicon import (DIGIT_CLASS, ENGLISH_STOPWORDS, NON_SPACE_CLASS,
 WORD_CHAR = "[\\p{L}\\p{N}_]"
 NON_WORD_CHAR = "[^\\p{L}\\p{N}_]"
 ALNUM_TOKEN = "^[\\p{L}\\p{N}]+$"
+# Token, URL and letter patterns of the cleaners.
 VECTORIZER_TOKEN = "[\\p{L}\\p{N}_]{2,}"
 URL = "http" + NON_SPACE_CLASS + "+"
 BROWSER_DROP = "[^a-z" + SPACE_CHARS + "]"   # JS \\s is Unicode whitespace
@@ -207,12 +208,15 @@ def clean_text_notebook(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS,
     return join_tokens(toks)
 
 
+def package_tokens(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS) -> Column:
+    """T17 before its lemma step: the words that the lemma table is looked up for."""
+    return drop_stopwords(split_tokens(lower_text(letters_only(strip_urls(x)))), stopwords)
+
+
 def clean_text_package(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS,
                        lemma_map: Column | None = None) -> Column:
     """Strip URLs -> letters only -> lower -> split -> stopwords -> lemma -> join."""
-    toks = split_tokens(lower_text(letters_only(strip_urls(x))))
-    toks = lemmatize_tokens(drop_stopwords(toks, stopwords), lemma_map)
-    return join_tokens(toks)
+    return join_tokens(lemmatize_tokens(package_tokens(x, stopwords), lemma_map))
 
 
 def clean_text_browser(x) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from . import evaluate as E
 
+# The published metric names and column order.
 METRICS = ("accuracy", "precision", "recall", "f1_score", "auc")
 RESULT_COLUMNS = ("run_id", "model_name", "accuracy", "precision", "recall", "f1_score", "auc",
                   "tp", "fp", "tn", "fn", "training_time_sec", "inference_time_sec",
@@ -32,11 +33,6 @@ def _py_str(v) -> str:
     return str(v)
 
 
-def hyperparams_json_col(m) -> object:
-    """E13 column form: MAP<STRING,STRING> -> JSON string."""
-    return F.to_json(m)
-
-
 def hyperparams_wide(df: DataFrame, keys: Sequence[str], json_col: str = "hyperparameters",
                      id_cols: Sequence[str] = ("run_id", "model_name")) -> DataFrame:
     """JSON object -> one ``hp_<key>`` column per key (null when absent).
@@ -48,14 +44,6 @@ def hyperparams_wide(df: DataFrame, keys: Sequence[str], json_col: str = "hyperp
     return df.select(*id_cols, *[F.try_element_at(m, F.lit(k)).alias(f"hp_{k}") for k in keys])
 
 
-def hyperparam_keys(df: DataFrame, json_col: str = "hyperparameters") -> DataFrame:
-    """Distinct keys in first-seen order (min row position), for callers
-    that need to discover the column list; output is small (#keys)."""
-    m = F.from_json(F.col(json_col), T.MapType(T.StringType(), T.StringType()))
-    return (df.select(F.explode(F.map_keys(m)).alias("key")).groupBy("key").count()
-            .select("key"))
-
-
 def mean_by_model(results: DataFrame, metrics: Sequence[str] = METRICS,
                   digits: int = 4) -> DataFrame:
     """Mean of each metric per model, rounded."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,20 +35,34 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def order_number(order: Sequence[str]):
+    """One fixed-width number that sorts like ``order``: the column itself, or
+    (rank, id) as rank * 2^64 + id in a decimal (|rank| below 10^18)."""
+    if len(order) == 1:
+        return F.col(order[0])
+    rank, row = order
+    return F.col(rank).cast("decimal(38,0)") * F.lit(Decimal(1 << 64)) + F.col(row)
+
+
+def first_per_text(df: DataFrame, text_col: str = "original_text", order: Sequence[str] = ("message_id",),
+                   keep: Sequence[str] = (), out: str = "message_id") -> DataFrame:
+    """The smallest order number of each text (and of each value of ``keep``).
+
+    A hash aggregate keyed on (xxhash64(text), text): its buffer is one number,
+    so nothing is sorted, a hot duplicate collapses to one row per input
+    partition before the shuffle, and the text in the key keeps a hash
+    collision from merging texts."""
+    return (df.groupBy(F.xxhash64(text_col).alias("_h"), text_col, *keep)
+              .agg(F.min(order_number(order)).alias(out)).drop("_h"))
+
+
 def dedup_text_keep_first(df: DataFrame, text_col: str = "original_text",
                           order: Sequence[str] = ("source_rank", "message_id")) -> DataFrame:
-    """P5: one row per text; the earliest row by ``order`` wins.
-
-    One hash aggregate keyed on (xxhash64(text), text): map-side partial
-    ``min_by`` collapses a hot duplicate to one row per input partition
-    before the shuffle, and the 64-bit hash makes sort/compare cheap; the
-    text itself stays in the key, so a hash collision never merges texts."""
-    cols = df.columns
-    packed = F.struct(*[F.col(c) for c in cols])
-    rank = F.struct(*[F.col(c) for c in order])
-    return (df.groupBy(F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_t"))
-              .agg(F.min_by(packed, rank).alias("_r"))
-              .select("_r.*"))
+    """P5: one row per text; the earliest row by ``order`` (unique) wins. The
+    winners' other columns are fetched by their order number, without texts."""
+    first = first_per_text(df, text_col, order, out="_k")
+    rest = df.drop(text_col).withColumn("_k", order_number(order))
+    return first.join(rest, "_k").select(*df.columns)
 
 
 def dedup_full_row(df: DataFrame) -> DataFrame:
@@ -104,6 +119,17 @@ def cleaning_audit(before: DataFrame, after: DataFrame, stage: str = "clean") ->
                     (F.col("rows_before") - a).alias("rows_removed"))
 
 
+def dedup_audit(df: DataFrame, text_col: str = "original_text", stage: str = "clean") -> DataFrame:
+    """P13 for P5 + P7 in one pass: group sizes give the rows before, groups
+    with a text the rows after."""
+    groups = (df.groupBy(F.xxhash64(text_col).alias("_h"), text_col)
+              .agg(F.count(F.lit(1)).alias("_n")))
+    c = groups.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows_before"),
+                   F.count(text_col).alias("rows_after"))
+    return c.select(F.lit(stage).alias("stage"), "rows_before", "rows_after",
+                    (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"))
+
+
 def drop_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """P14."""
     return df.drop(*cols)

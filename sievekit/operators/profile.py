@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,18 +37,32 @@ def table_info(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, approx: bool = False, rsd: float = 0.05) -> DataFrame:
-    """(column, position, n_distinct) of non-null values; ``approx`` uses
-    HyperLogLog++ (no Expand of the input per column)."""
+    """(column, position, n_distinct) of non-null values. Each column's
+    distinct values are an aggregate of their own that scans that column only
+    (all of them read the table once in total; one aggregate over all columns
+    would expand every row k times). ``approx``: one HyperLogLog++ pass."""
     cols = df.columns
-    f = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    agg = df.agg(*[f(F.col(c)).cast("long").alias(f"{c}__nd") for c in cols])
-    return _unpivot(agg, cols, "n_distinct", "__nd")
-
-
-def plottable_columns(distinct: DataFrame, max_shown: int = 10) -> DataFrame:
-    """Columns with 1 < distinct < 50, first ``max_shown`` by position."""
-    return (distinct.where((F.col("n_distinct") > 1) & (F.col("n_distinct") < 50))
-            .orderBy("position").limit(max_shown).select("column", "position"))
+    if approx:
+        agg = df.agg(*[F.approx_count_distinct(c, rsd).alias(f"{c}__nd") for c in cols])
+        return _unpivot(agg, cols, "n_distinct", "__nd")
+    parts = [df.select(c).distinct().agg(F.count(c).alias("n_distinct"))
+             .select(F.lit(c).alias("column"), F.lit(i).alias("position"), "n_distinct")
+             for i, c in enumerate(cols)]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def plottable_columns(df: DataFrame, max_shown: int = 10, below: int = 50) -> DataFrame:
+    """Columns with 1 < distinct < ``below``, first ``max_shown`` by position.
+    One HyperLogLog++ pass (one row comes back) rules out columns estimated at
+    four times the limit or more, far beyond its error; the rest is counted exactly."""
+    seen = df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns]).first()
+    near = [c for c in df.columns if seen[c] < 4 * below]
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
+    exact = distinct_counts(df.select(*near)) if near else df.sparkSession.createDataFrame(
+        [], "column string, position int, n_distinct long")
+    return (exact.where((F.col("n_distinct") > 1) & (F.col("n_distinct") < below))
+            .select("column", F.element_at(place, F.col("column")).alias("position"))
+            .orderBy("position").limit(max_shown))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -78,18 +93,59 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
-def drop_null_columns(info: DataFrame) -> DataFrame:
-    """Columns without nulls (from X1)."""
+def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, x, n): each distinct non-null value of each column with its
+    row count, pre-aggregated before the shuffle."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
+                                                 F.col(c).cast("double").alias("x"))
+                                        for c in cols]))).where(F.col("x").isNotNull())
+    return long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def histograms(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:
+    """X5 for several columns: values are counted first, so the bins are made
+    from distinct values; edges as in ``histogram``."""
+    vals = _long_values(df, cols)
+    same = F.col("mn") == F.col("mx")
+    st = (vals.groupBy("column").agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
+          .select("column", F.when(same, F.col("mn") - 0.5).otherwise(F.col("mn")).alias("_lo"),
+                  F.when(same, F.col("mx") + 0.5).otherwise(F.col("mx")).alias("_hi"))
+          .withColumn("_w", (F.col("_hi") - F.col("_lo")) / bins))
+    at = F.least(F.floor((F.col("x") - F.col("_lo")) / F.col("_w")).cast("int"), F.lit(bins - 1))
+    counts = (vals.join(F.broadcast(st), "column")          # one row per column
+              .groupBy("column", at.alias("bin")).agg(F.sum("n").alias("count")))
+    grid = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return grid.join(counts, ["column", "bin"], "left").select(
+        "column", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lo"),
+        (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("hi"),
+        F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def null_free_columns(info: DataFrame) -> DataFrame:
+    """X6 as names: columns without nulls (from X1)."""
     return info.where(F.col("non_null") == F.col("rows")).select("column", "position")
 
 
-def drop_constant_columns(distinct: DataFrame) -> DataFrame:
-    """Columns with more than one distinct value (from X2)."""
+def varying_columns(distinct: DataFrame) -> DataFrame:
+    """X7 as names: columns with more than one distinct value (from X2)."""
     return distinct.where(F.col("n_distinct") > 1).select("column", "position")
 
 
-def numeric_columns(df: DataFrame, limit: int = 10) -> list[str]:
-    """Numeric columns in schema order, at most ``limit`` (schema only)."""
+def drop_null_columns(df: DataFrame) -> DataFrame:
+    """The table without columns that hold nulls (one counting pass, one row)."""
+    n = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    return df.select(*[c for c in df.columns if n[c] == 0])
+
+
+def drop_constant_columns(df: DataFrame) -> DataFrame:
+    """The table without constant columns: min and max tell, no distinct."""
+    r = df.agg(*[(F.min(c) != F.max(c)).alias(c) for c in df.columns]).first()
+    return df.select(*[c for c in df.columns if r[c]])
+
+
+def numeric_columns(df: DataFrame, limit: int | None = 10) -> list[str]:
+    """Numeric columns in schema order, at most ``limit`` (the scatter
+    matrix's feature; None: all), from the schema of the reduced table."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)][:limit]
 
 
@@ -127,22 +183,24 @@ def kernel_density(df: DataFrame, cols: Sequence[str], grid: int = 1000) -> Data
     """X11: Gaussian KDE per column on ``grid`` evenly spaced points over
     [min, max], bandwidth sd * n^(-1/5) (Scott), sd with ddof 1.
 
-    The data is unpivoted to (column, x), joined to a broadcast grid of
-    (column, k, g) (#columns x grid rows), and summed per (column, k) with
-    map-side partial aggregation: work is n x grid, memory is grid."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"),
-                                                 F.col(c).cast("double").alias("x"))
-                                        for c in cols]))).where(F.col("x").isNotNull())
-    st = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-                                    F.min("x").alias("mn"), F.max("x").alias("mx"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
-    g = (st.select("column", "n", "h", "mn", "mx",
+    Values are counted first; each distinct (column, x, n) meets the broadcast
+    grid of (column, k, g) (#columns x grid rows), and densities are summed per
+    (column, k) with map-side partial aggregation: memory is grid."""
+    vals = _long_values(df, cols)
+    n = F.col("n").cast("double")
+    st = vals.groupBy("column").agg(F.sum("n").alias("rows"), F.min("x").alias("mn"),
+                                    F.max("x").alias("mx"), (F.sum(n * F.col("x")) / F.sum(n)).alias("mean"))
+    dev = vals.join(F.broadcast(st.select("column", "mean")), "column")
+    sd = dev.groupBy("column").agg(F.sum(n * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("_ss"))
+    st = st.join(sd, "column").withColumn(
+        "h", F.sqrt(F.col("_ss") / (F.col("rows") - 1)) * F.pow(F.col("rows").cast("double"), F.lit(-0.2)))
+    g = (st.select("column", "rows", "h", "mn", "mx",
                    F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
          .withColumn("g", F.col("mn") + F.col("k") * (F.col("mx") - F.col("mn")) / (grid - 1)))
     z = (F.col("g") - F.col("x")) / F.col("h")
-    dens = (long.join(F.broadcast(g), "column")
-            .groupBy("column", "k", "g", "n", "h")
-            .agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_s")))
+    dens = (vals.join(F.broadcast(g), "column")
+            .groupBy("column", "k", "g", "rows", "h")
+            .agg(F.sum(n * F.exp(F.lit(-0.5) * z * z)).alias("_s")))
     return dens.select("column", "k", F.col("g").alias("x"),
-                       (F.col("_s") / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi)))
+                       (F.col("_s") / (F.col("rows") * F.col("h") * math.sqrt(2 * math.pi)))
                        .alias("density"))

@@ -36,8 +36,9 @@ def route_mailbox(mailbox: DataFrame) -> DataFrame:
 
 
 def mailbox_view(mailbox: DataFrame) -> DataFrame:
-    """I3 display order: box, newest first (a distributed range sort)."""
-    return route_mailbox(mailbox).orderBy("box", F.desc("id"))
+    """I3 display order: position by box, newest (largest id) first."""
+    keyed = route_mailbox(mailbox).withColumn("_newest", -F.col("id"))
+    return assign_row_ids(keyed, ["box", "_newest"], "position").drop("_newest")
 
 
 def assign_message_ids(lines: DataFrame, batch_ms: int, order: Sequence[str]) -> DataFrame:

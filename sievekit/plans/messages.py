@@ -39,12 +39,13 @@ def labelled_messages(spark: SparkSession, sf_dir: str, source: str = "msg",
     (message_id, label, original_text, source, source_rank, label_num,
     message_length, num_uppercase, num_digits)."""
     if source == "msg":
-        # dedup first (one shuffle of the texts), then join the e-mail labels
-        # to the winning rows only (one shuffle by id, which the message
-        # stage reuses); the winner's label is the same either way
-        d = P.dedup_text_keep_first(S.msg_unlabelled(spark, sf_dir))
+        # dedup first (one shuffle of the texts), then join the labels to the
+        # winning rows only (one shuffle by id, which the message stage
+        # reuses); an e-mail id is below every sms id, so the smallest id is
+        # the first row by (source_rank, message_id)
+        d = P.first_per_text(S.msg_texts(spark, sf_dir))
         n = num_partitions or message_partitions(spark, sf_dir)
-        d = S.attach_email_labels(spark, sf_dir, P.drop_null_rows(d, ["original_text"]), n)
+        d = S.attach_labels(spark, sf_dir, P.drop_null_rows(d, ["original_text"]), n)
     else:
         base = {"email": S.msg_email, "sms": S.msg_sms}[source](spark, sf_dir)
         d = P.drop_null_rows(P.dedup_text_keep_first(base), ["original_text"])
@@ -53,6 +54,32 @@ def labelled_messages(spark: SparkSession, sf_dir: str, source: str = "msg",
     return T.extract_features(d)
 
 
+def package_messages(spark: SparkSession, sf_dir: str, num_partitions: int) -> DataFrame:
+    """Package variant's labelled rows: P6 keeps a text once for each of its
+    labels (smallest id), P7 drops null labels and texts, T19 counts."""
+    d = P.drop_null_rows(S.msg(spark, sf_dir).select("message_id", "label", "original_text"),
+                         ["label", "original_text"])
+    d = P.first_per_text(d, keep=("label",)).repartition(num_partitions, "message_id")
+    return T.extract_features(P.drop_null_rows(
+        d.withColumn("label_num", P.map_label_fixed("label")), ["label_num"]))
+
+
+def prepared_package(spark: SparkSession, sf_dir: str, seed: int = 42,
+                     test_size: float = 0.2) -> DataFrame:
+    """Package variant: P6 + P7, T17 with its lemma step (the corpus's own plural
+    table), F8. Texts are read once: tokens are staged by message id, and the
+    lemma table and the lookup read that stage."""
+    n = message_partitions(spark, sf_dir)
+    m = package_messages(spark, sf_dir, n).select(
+        "message_id", "label_num", "message_length", "num_uppercase", "num_digits",
+        T.package_tokens("original_text").alias("tokens"))
+    m = checkpoint_stage(m, "package_tokens", key="message_id", buckets=n, prepartitioned=True)
+    m = P.lemmatize_join(m, "tokens", P.plural_lemma_table(m, "tokens"))
+    m = m.withColumn("clean_text", T.join_tokens("tokens")).drop("tokens")
+    m = checkpoint_stage(m, "messages", key="message_id", buckets=n)
+    return FE.split_threshold(m, seed, test_size)
+
+
 def partition_messages(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """Hash-partition message rows by id once, so that every per-message
     aggregate and join downstream (term counts, norms, scores) is local."""
@@ -105,7 +132,11 @@ def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,
                             split: str = "threshold") -> DataFrame:
     """Fit features + M2 on train rows, score test rows:
     (message_id, actual, predicted, score)."""
-    m = prepared(spark, sf_dir, seed, cleaner, split)
+    return predictions_on(prepared(spark, sf_dir, seed, cleaner, split), max_features)
+
+
+def predictions_on(m: DataFrame, max_features: int | None = 3000) -> DataFrame:
+    """``naive_bayes_predictions`` of a prepared, split message set."""
     train, test = m.where(~F.col("is_test")), m.where(F.col("is_test"))
     tf = staged_term_counts(m)
     train_tf = tf.where(~F.col("is_test")).drop("is_test")
@@ -121,10 +152,29 @@ def naive_bayes_predictions(spark: SparkSession, sf_dir: str, seed: int = 42,
                     F.coalesce("predicted", F.lit(0)).alias("predicted"), "score"))
 
 
+def confusion(pred: DataFrame, seed: int = 42, run: int = 1) -> DataFrame:
+    """E1 + E2 of one run's Naive Bayes predictions."""
+    pred = pred.select(
+        F.lit(f"run_{run:02d}_seed{seed}").alias("run_id"), F.lit("Naive Bayes").alias("model_name"),
+        F.lit(1).alias("model_ord"), "actual", "predicted")
+    return E.confusion_long(E.confusion_counts(pred))
+
+
 def flagship(spark: SparkSession, sf_dir: str, seed: int = 42, max_features: int | None = 3000,
              cleaner: str = "browser", split: str = "threshold") -> DataFrame:
     """Seed-42 confusion matrix (long form) of the relational Naive Bayes."""
-    pred = naive_bayes_predictions(spark, sf_dir, seed, max_features, cleaner, split).select(
-        F.lit(f"run_01_seed{seed}").alias("run_id"), F.lit("Naive Bayes").alias("model_name"),
-        F.lit(1).alias("model_ord"), "actual", "predicted")
-    return E.confusion_long(E.confusion_counts(pred))
+    return confusion(naive_bayes_predictions(spark, sf_dir, seed, max_features, cleaner, split), seed)
+
+
+def package_variant(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+    """Confusion matrix of the package variant (P6, lemmas, 3,000 terms)."""
+    return confusion(predictions_on(prepared_package(spark, sf_dir, seed)), seed)
+
+
+def naive_bayes_grid(spark: SparkSession, sf_dir: str, seeds) -> DataFrame:
+    """E16 with the relational model: every seed's split, fit and confusion
+    matrix over one message stage."""
+    base = prepared(spark, sf_dir, split="none")
+    runs = [confusion(predictions_on(FE.split_threshold(base, seed)), seed, i + 1)
+            for i, seed in enumerate(seeds)]
+    return P.union_sources(*runs)

@@ -226,8 +226,51 @@ UNION ALL SELECT {keys}, {s}, {h}, fn FROM cc
 UNION ALL SELECT {keys}, {s}, {s}, tp FROM cc"""
 
 
+def package_tokens_sql(x: str) -> str:
+    return drop_stopwords_sql(split_tokens_sql(f"lower({letters_only_sql(strip_urls_sql(x))})"))
+
+
+def package_prepared_ctes(seed: int = 42, test_size: float = 0.2) -> str:
+    """Package variant: distinct (label, text) rows, words replaced by the
+    corpus's plural lemmas, threshold split."""
+    return MSG_CTES + f""",
+labelled AS (
+  SELECT min(message_id) AS message_id, original_text,
+         CASE label WHEN 'ham' THEN 0 WHEN 'spam' THEN 1 END AS label_num
+  FROM msg WHERE label IS NOT NULL AND original_text IS NOT NULL
+  GROUP BY label, original_text),
+ptoks AS (
+  SELECT message_id, unnest(arr_) AS tok, generate_subscripts(arr_, 1) AS pos
+  FROM (SELECT message_id, {package_tokens_sql('original_text')} AS arr_ FROM labelled)),
+pvocab AS (SELECT DISTINCT tok FROM ptoks),
+plemmas AS (
+  SELECT v.tok AS form, s.tok AS lemma FROM pvocab v JOIN pvocab s
+    ON length(v.tok) > 3 AND v.tok LIKE '%s' AND v.tok NOT LIKE '%ss'
+   AND s.tok = substr(v.tok, 1, length(v.tok) - 1)),
+pclean AS (
+  SELECT message_id, string_agg(coalesce(l.lemma, t.tok), ' ' ORDER BY t.pos) AS clean_text
+  FROM ptoks t LEFT JOIN plemmas l ON t.tok = l.form GROUP BY message_id),
+prepared AS (
+  SELECT m.message_id, m.label_num, {length_sql('original_text')} AS message_length,
+         {upper_sql('original_text')} AS num_uppercase, {digits_sql('original_text')} AS num_digits,
+         coalesce(c.clean_text, '') AS clean_text,
+         {split_key_sql(seed, 'm.message_id')} < {test_key_limit(test_size)} AS is_test
+  FROM labelled m LEFT JOIN pclean c USING (message_id))"""
+
+
+def package_variant_sql(seed: int = 42) -> str:
+    return ("WITH " + package_prepared_ctes(seed) + nb_ctes(3000) + f""",
+pred AS (SELECT 'run_01_seed{seed}' AS run_id, 'Naive Bayes' AS model_name, actual, predicted
+         FROM nb_pred),""" + confusion_long_sql("pred"))
+
+
 def flagship_sql(seed: int = 42, max_features: int | None = 3000, cleaner: str = "browser",
-                 split: str = "threshold") -> str:
+                 split: str = "threshold", run: int = 1) -> str:
     return ("WITH " + prepared_ctes(seed, cleaner, split) + nb_ctes(max_features) + f""",
-pred AS (SELECT 'run_01_seed{seed}' AS run_id, 'Naive Bayes' AS model_name, actual, predicted
+pred AS (SELECT 'run_{run:02d}_seed{seed}' AS run_id, 'Naive Bayes' AS model_name, actual, predicted
          FROM nb_pred),""" + confusion_long_sql("pred"))
+
+
+def naive_bayes_grid_sql(seeds) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({flagship_sql(s, run=i + 1)})"
+                              for i, s in enumerate(seeds))

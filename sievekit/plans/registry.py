@@ -25,6 +25,7 @@ from ..session import shared_path
 from ..sources import files as FI
 from ..sources import standins as ST
 from ..sources import tables as S
+from ..sources.stage import checkpoint_stage
 from . import oracle as O
 from . import messages as PL
 
@@ -61,10 +62,22 @@ def flagship_nb_confusion(spark, sf_dir):
 
 @register("nb_confusion_package", O.flagship_sql(42, cleaner="package"))
 def nb_confusion_package(spark, sf_dir):
-    """Package variant: T17 cleaner."""
+    """The flagship's rows with the package's cleaner (T17 without lemmas)."""
     return PL.flagship(spark, sf_dir, 42, cleaner="package")
 
 
+@register("nb_confusion_package_variant", O.package_variant_sql(42))
+def nb_confusion_package_variant(spark, sf_dir):
+    """Package variant as a whole: P6 + P7, T17 with lemmas, 3,000 terms."""
+    return PL.package_variant(spark, sf_dir, 42)
+
+
+@register("nb_grid", O.naive_bayes_grid_sql(ST.RUN_SEEDS))
+def nb_grid(spark, sf_dir):
+    """E16 + E2: the five-seed grid of the relational Naive Bayes."""
+    return PL.naive_bayes_grid(spark, sf_dir, ST.RUN_SEEDS)
+
+
 @register("nb_confusion_notebook", O.flagship_sql(42, cleaner="notebook_nostem"))
 def nb_confusion_notebook(spark, sf_dir):
     """Notebook variant, stemming off (T16 without T14, which has no SQL form)."""
@@ -206,9 +219,7 @@ SELECT 'notebook' AS stage, (SELECT count(*) FROM msg) AS rows_before,
        (SELECT count(*) FROM msg) - (SELECT count(*) FROM dedup WHERE original_text IS NOT NULL)
          AS rows_removed"""))
 def cleaning_audit(spark, sf_dir):
-    before = S.msg(spark, sf_dir)
-    after = P.drop_null_rows(P.dedup_text_keep_first(before), ["original_text"])
-    return P.cleaning_audit(before, after, "notebook")
+    return P.dedup_audit(S.msg_texts(spark, sf_dir), "original_text", "notebook")
 
 
 _PREP42 = O.prepared_ctes(42)
@@ -245,6 +256,27 @@ def extract_features(spark, sf_dir):
         "message_id", "message_length", "num_uppercase", "num_digits")
 
 
+@register("message_length", with_(O.MSG_CTES, f"""
+SELECT message_id, {O.length_sql('original_text')} AS message_length FROM msg"""))
+def message_length(spark, sf_dir):
+    return S.msg_texts(spark, sf_dir).select(
+        "message_id", T.message_length("original_text").alias("message_length"))
+
+
+@register("num_uppercase", with_(O.MSG_CTES, f"""
+SELECT message_id, {O.upper_sql('original_text')} AS num_uppercase FROM msg"""))
+def num_uppercase(spark, sf_dir):
+    return S.msg_texts(spark, sf_dir).select(
+        "message_id", T.num_uppercase("original_text").alias("num_uppercase"))
+
+
+@register("num_digits", with_(O.MSG_CTES, f"""
+SELECT message_id, {O.digits_sql('original_text')} AS num_digits FROM msg"""))
+def num_digits(spark, sf_dir):
+    return S.msg_texts(spark, sf_dir).select(
+        "message_id", T.num_digits("original_text").alias("num_digits"))
+
+
 @register("ascii_counts", with_(O.MSG_CTES, f"""
 SELECT message_id, {O.count_sql('original_text', '[A-Z]')} AS upper_ascii,
        {O.count_sql('original_text', '[0-9]')} AS digits_ascii FROM msg"""))
@@ -330,7 +362,8 @@ SELECT message_id, CAST(count(*) AS INTEGER) AS n_tokens,
 FROM toks t LEFT JOIN lemmas l ON t.tok = l.form GROUP BY message_id"""))
 def lemmatize_tokens(spark, sf_dir):
     m = S.msg(spark, sf_dir).where(F.col("original_text").isNotNull())
-    toks = m.select("message_id", T.drop_stopwords(_pkg_split()).alias("tokens"))
+    toks = checkpoint_stage(m.select("message_id", T.package_tokens("original_text").alias("tokens")),
+                            "package_tokens")
     lem = P.plural_lemma_table(toks, "tokens")
     out = P.lemmatize_join(toks, "tokens", lem, id_col="message_id")
     return out.where(F.size("tokens") > 0).select("message_id", *_tok(F.col("tokens")))
@@ -671,10 +704,12 @@ def best_by_f1(spark, sf_dir):
 
 @register("hyperparams_wide", """
 SELECT CAST(event_id AS VARCHAR) AS run_id, event_type AS model_name,
-       json_extract_string(props, '$.k') AS hp_k, json_extract_string(props, '$.alpha') AS hp_alpha
+       json_extract_string(props, '$.k') AS hp_k,
+       CASE WHEN event_type = 'error' THEN 'None' ELSE printf('%.2f', value) END AS hp_alpha,
+       CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END AS hp_n_jobs
 FROM events""")
 def hyperparams_wide(spark, sf_dir):
-    return X.hyperparams_wide(ST.props_kv(spark, sf_dir), ["k", "alpha"])
+    return X.hyperparams_wide(ST.props_kv(spark, sf_dir), ["k", "alpha", "n_jobs"])
 
 
 @register("mean_by_model", with_(_PRED, """
@@ -703,13 +738,20 @@ def results_table(spark, sf_dir):
 
 
 @register("attach_columns", with_(_PRED, """
-SELECT r.run_id, r.model_name, r.f1_score, CAST(r.run_id AS VARCHAR) || '/' || r.model_name AS hp_key
-FROM results r"""))
+SELECT r.run_id, r.model_name, r.f1_score, c.spam_rows, c.mean_score
+FROM results r LEFT JOIN (
+  SELECT run_id, model_name, count(*) FILTER (WHERE predicted = 1) AS spam_rows,
+         round(avg(score), 6) AS mean_score
+  FROM pred WHERE model_ord < 2 GROUP BY run_id, model_name) c
+  ON r.run_id = c.run_id AND r.model_name = c.model_name"""))
 def attach_columns(spark, sf_dir):
-    r = X.results_table(_pred(spark, sf_dir)).select("run_id", "model_name", "f1_score")
-    hp = r.select("run_id", "model_name",
-                  F.concat_ws("/", "run_id", "model_name").alias("hp_key"))
-    return P.attach_columns(r, hp)
+    """Columns from another table; one model has no row there."""
+    pred = _pred(spark, sf_dir)
+    r = X.results_table(pred).select("run_id", "model_name", "f1_score")
+    c = pred.where(F.col("model_ord") < 2).groupBy("run_id", "model_name").agg(
+        F.count_if(F.col("predicted") == 1).alias("spam_rows"),
+        r6(F.avg("score")).alias("mean_score"))
+    return P.attach_columns(r, c)
 
 
 _LOG_W = "CAST(greatest(length(CAST(tn AS VARCHAR)), length(CAST(fp AS VARCHAR)), length(CAST(fn AS VARCHAR)), length(CAST(tp AS VARCHAR))) AS INTEGER)"
@@ -741,6 +783,16 @@ def route_mailbox(spark, sf_dir):
     return SC.route_mailbox(ST.mailbox_t(spark, sf_dir))
 
 
+@register("mailbox_view", """
+SELECT CAST(row_number() OVER (ORDER BY box, id DESC) - 1 AS BIGINT) AS position, * FROM (
+  SELECT event_id AS id, event_type AS texto, coalesce(event_type = 'error', false) AS "esSpam",
+         CASE WHEN coalesce(event_type = 'error', false) THEN 'spam' ELSE 'inbox' END AS box
+  FROM events)""")
+def mailbox_view(spark, sf_dir):
+    """I3 display order: each message's place, newest first within its box."""
+    return SC.mailbox_view(ST.mailbox_t(spark, sf_dir))
+
+
 BATCH_MS = 1_700_000_000_000
 
 
@@ -915,7 +967,7 @@ def distinct_counts(spark, sf_dir):
 SELECT "column", position FROM ({_DISTINCT_SQL})
 WHERE n_distinct > 1 AND n_distinct < 50 ORDER BY position LIMIT 10""")
 def plottable_columns(spark, sf_dir):
-    return PR.plottable_columns(PR.distinct_counts(_lineitem(spark, sf_dir)))
+    return PR.plottable_columns(_lineitem(spark, sf_dir))
 
 
 @register("value_counts", """
@@ -943,16 +995,69 @@ def histogram(spark, sf_dir):
     return h.withColumns({"lo": r6("lo"), "hi": r6("hi")})
 
 
-@register("drop_null_columns", _union_per_col(_LI_COLS, lambda i, c: (
+@register("null_free_columns", _union_per_col(_LI_COLS, lambda i, c: (
     f"SELECT {q(c)} AS \"column\", {i} AS position FROM lineitem HAVING count({c}) = count(*)")))
-def drop_null_columns(spark, sf_dir):
-    return PR.drop_null_columns(PR.table_info(_lineitem(spark, sf_dir)))
+def null_free_columns(spark, sf_dir):
+    return PR.null_free_columns(PR.table_info(_lineitem(spark, sf_dir)))
 
 
-@register("drop_constant_columns", f"""
+@register("varying_columns", f"""
 SELECT "column", position FROM ({_DISTINCT_SQL}) WHERE n_distinct > 1""")
+def varying_columns(spark, sf_dir):
+    return PR.varying_columns(PR.distinct_counts(_lineitem(spark, sf_dir)))
+
+
+# lineitem with derived columns: one with nulls, one constant, 12 numeric ones in all
+_WIDE_SQL = """
+wide AS (
+  SELECT *, l_extendedprice * (1 - l_discount) AS l_net,
+         CASE WHEN l_linenumber > 1 THEN l_linenumber END AS l_gap, 7 AS l_const,
+         l_extendedprice * (1 - l_discount) * (1 + l_tax) AS l_charge,
+         CAST(year(l_shipdate) AS INTEGER) AS l_year, CAST(month(l_shipdate) AS INTEGER) AS l_month
+  FROM lineitem)"""
+_WIDE_NUM = [f.name for f in S.DRIVER["lineitem"].fields if isinstance(f.dataType, PR.NUMERIC)] + [
+    "l_net", "l_charge", "l_year", "l_month"]
+
+
+def _wide(spark, sf_dir):
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return _lineitem(spark, sf_dir).select(
+        "*", net.alias("l_net"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_linenumber")).alias("l_gap"),
+        F.lit(7).alias("l_const"), (net * (1 + F.col("l_tax"))).alias("l_charge"),
+        F.year("l_shipdate").alias("l_year"), F.month("l_shipdate").alias("l_month"))
+
+
+def _usable(spark, sf_dir):
+    return PR.drop_constant_columns(PR.drop_null_columns(_wide(spark, sf_dir)))
+
+
+@register("drop_null_columns", with_(_WIDE_SQL, "SELECT * EXCLUDE (l_gap) FROM wide"))
+def drop_null_columns(spark, sf_dir):
+    return PR.drop_null_columns(_wide(spark, sf_dir))
+
+
+@register("drop_constant_columns", with_(_WIDE_SQL, "SELECT * EXCLUDE (l_const) FROM wide"))
 def drop_constant_columns(spark, sf_dir):
-    return PR.drop_constant_columns(PR.distinct_counts(_lineitem(spark, sf_dir)))
+    return PR.drop_constant_columns(_wide(spark, sf_dir))
+
+
+_HIST_COLS = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_year", "l_month"]
+
+
+@register("histograms", with_(_WIDE_SQL + "," + ",".join(f"""
+h{i} AS (
+  SELECT {q(c)} AS "column", b.bin, lo + b.bin * w AS lo, lo + (b.bin + 1) * w AS hi,
+         (SELECT count(*) FROM wide
+          WHERE least(CAST(floor((CAST({c} AS DOUBLE) - st.lo) / st.w) AS INTEGER), 9) = b.bin) AS count
+  FROM (SELECT min({c})::DOUBLE AS lo, (max({c}) - min({c}))::DOUBLE / 10 AS w FROM wide) st,
+       (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS bin) b)""" for i, c in enumerate(_HIST_COLS)),
+    " UNION ALL ".join(f'SELECT "column", bin, round(lo, 6) AS lo, round(hi, 6) AS hi, count FROM h{i}'
+                       for i in range(len(_HIST_COLS)))))
+def histograms(spark, sf_dir):
+    """X5 for the numeric columns of few values (X3) of the whole table."""
+    h = PR.histograms(_wide(spark, sf_dir), _HIST_COLS, 10)
+    return h.withColumns({"lo": r6("lo"), "hi": r6("hi")})
 
 
 @register("numeric_columns", _union_per_col(_LI_NUM, lambda i, c: (
@@ -963,16 +1068,17 @@ def numeric_columns(spark, sf_dir):
     return PR.table_info(li.select(*cols)).select("column", "position", "non_null")
 
 
-_CORR_PAIRS = [(a, b) for i, a in enumerate(_LI_NUM) for b in _LI_NUM[i + 1:]]
+_CORR_PAIRS = [(a, b) for i, a in enumerate(_WIDE_NUM) for b in _WIDE_NUM[i + 1:]]
 
 
-@register("correlation_matrix", "\nUNION ALL ".join(
+@register("correlation_matrix", with_(_WIDE_SQL, "\nUNION ALL ".join(
     f"SELECT {q(a)} AS col_a, {q(b)} AS col_b, "
-    f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM lineitem"
-    for a, b in _CORR_PAIRS))
+    f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM wide"
+    for a, b in _CORR_PAIRS)))
 def correlation_matrix(spark, sf_dir):
-    li = _lineitem(spark, sf_dir)
-    return PR.correlation_matrix(li, PR.numeric_columns(li)).withColumn("corr", r6("corr"))
+    """X8 over every numeric column that X6 and X7 leave."""
+    df = _usable(spark, sf_dir)
+    return PR.correlation_matrix(df, PR.numeric_columns(df, None)).withColumn("corr", r6("corr"))
 
 
 _PART_NUM = ["p_partkey", "p_size", "p_retailprice"]
@@ -984,8 +1090,8 @@ _PART_PAIRS = [(a, b) for i, a in enumerate(_PART_NUM) for b in _PART_NUM[i + 1:
     f"round((SELECT corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) FROM part), 6) AS corr FROM part"
     for a, b in _PART_PAIRS))
 def scatter_pairs(spark, sf_dir):
-    part = S.table(spark, sf_dir, "part")
-    return PR.scatter_pairs(part, _PART_NUM).withColumn("corr", r6("corr"))
+    part = PR.drop_constant_columns(PR.drop_null_columns(S.table(spark, sf_dir, "part")))
+    return PR.scatter_pairs(part, PR.numeric_columns(part)).withColumn("corr", r6("corr"))
 
 
 KDE_GRID = 100
@@ -1003,8 +1109,8 @@ SELECT g."column", CAST(k AS INTEGER) AS k, round(gx, 6) AS x,
        round(sum(exp(-0.5 * ((gx - x) / h) * ((gx - x) / h))) / (n * h * sqrt(2 * pi())), 6) AS density
 FROM long JOIN g USING ("column") GROUP BY g."column", k, gx, n, h""")
 def kernel_density(spark, sf_dir):
-    part = S.table(spark, sf_dir, "part")
-    d = PR.kernel_density(part, _PART_NUM, KDE_GRID)
+    part = PR.drop_constant_columns(PR.drop_null_columns(S.table(spark, sf_dir, "part")))
+    d = PR.kernel_density(part, PR.numeric_columns(part), KDE_GRID)
     return d.withColumns({"x": r6("x"), "density": r6("density")})
 
 
@@ -1013,10 +1119,10 @@ def kernel_density(spark, sf_dir):
 
 @register("experiment_run")
 def experiment_run(spark, sf_dir):
-    """E16-E18 for one seed with the four fitted candidates (MLlib fits have no
-    exact SQL form): the results table without the wall-clock columns."""
+    """E16-E18 for the five seeds with the four fitted candidates (MLlib fits
+    have no exact SQL form): the results table without the wall-clock columns."""
     from . import experiment as XP
-    ex = XP.run_experiment(spark, sf_dir, seeds=(42,))
+    ex = XP.run_experiment(spark, sf_dir)
     return ex.results.drop("training_time_sec", "inference_time_sec", "date_trained")
 
 

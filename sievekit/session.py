@@ -7,7 +7,6 @@ cut lineage (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -62,18 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def partitions_for(spark: SparkSession, splits: int) -> int:
     """Partition (bucket) count for a message-level stage: one per input
     split (a split is ~spark.sql.files.maxPartitionBytes of input), at least
-    one per core, at most the configured shuffle partitions. Small inputs get
-    few buckets, 100 TB gets the cluster's configured width."""
-    cores = spark.sparkContext.defaultParallelism
-    hi = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
-    return max(cores, min(hi, splits))
+    one per core, at most what Spark allows for a bucketed table."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, max(spark.sparkContext.defaultParallelism, splits))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a written table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def sf_dir_default() -> str:
-    return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.01")

@@ -71,8 +71,13 @@ def flips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def props_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events.props JSON object as the hyperparameter JSON of a 'run'."""
+    """events.props, with two more keys from the row, as the hyperparameter JSON
+    of a 'run': one key holds the text ``None`` at times, one is often absent."""
     ev = table(spark, sf_dir, "events")
+    more = F.to_json(F.struct(
+        F.get_json_object("props", "$.k").alias("k"),
+        F.when(F.col("event_type") == "error", "None")
+        .otherwise(F.format_string("%.2f", "value")).alias("alpha"),
+        F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).alias("n_jobs")))
     return ev.select(F.col("event_id").cast("string").alias("run_id"),
-                     F.col("event_type").alias("model_name"),
-                     F.col("props").alias("hyperparameters"))
+                     F.col("event_type").alias("model_name"), more.alias("hyperparameters"))

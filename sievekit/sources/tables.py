@@ -76,32 +76,33 @@ def email_quality_label(quality):
     return F.when(quality == 0, "spam").when(quality == 1, "ham")
 
 
-def msg_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``msg`` before the e-mail labels are attached (sms labels come from the
-    row itself): lets dedup run before the label join, so only the winning
-    rows are joined."""
+def msg_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(message_id, original_text) of both sources: lets dedup run on ids and
+    texts alone; an id tells its source, and its label is looked up after."""
     docs = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("message_id"), F.lit(None).cast("string").alias("label"),
-        F.col("text").alias("original_text"), F.lit("email").alias("source"),
-        F.lit(0).alias("source_rank"))
-    from ..operators.prep import union_sources
-    return union_sources(docs, msg_sms(spark, sf_dir))
+        F.col("doc_id").alias("message_id"), F.col("text").alias("original_text"))
+    return docs.unionByName(msg_sms(spark, sf_dir).select("message_id", "original_text"))
+
+
+def msg_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(message_id, label) of both sources, without texts."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("message_id"), email_quality_label(F.col("quality")).alias("label"))
+    return labels.unionByName(msg_sms(spark, sf_dir).select("message_id", "label"))
 
 
-def attach_email_labels(spark: SparkSession, sf_dir: str, df: DataFrame,
-                        num_partitions: int | None = None) -> DataFrame:
-    """Left-join the e-mail labels to message rows. Both sides are hash
-    partitioned by message id explicitly, so the join output keeps that
+def attach_labels(spark: SparkSession, sf_dir: str, df: DataFrame,
+                  num_partitions: int | None = None) -> DataFrame:
+    """Left-join label, source and source_rank to (message_id, ...) rows. Both
+    sides are hash partitioned by message id, so the join output keeps that
     partitioning (later stages bucket by the same key without reshuffling)."""
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the labels side is left to the planner: AQE broadcasts it when it is
     # small at run time, otherwise it is shuffled to match (message_id, n)
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_lid"), "quality")
-    j = df.repartition(n, "message_id").join(
-        labels, (F.col("message_id") == F.col("_lid")) & (F.col("source") == "email"), "left")
-    return j.withColumn("label", F.when(F.col("source") == "email",
-                                        email_quality_label(F.col("quality")))
-                        .otherwise(F.col("label"))).drop("_lid", "quality")
+    j = df.repartition(n, "message_id").join(msg_labels(spark, sf_dir), "message_id", "left")
+    sms = F.col("message_id") >= F.lit(SMS_ID_BASE)
+    return j.withColumns({"source": F.when(sms, "sms").otherwise("email"),
+                          "source_rank": F.when(sms, 1).otherwise(0)})
 
 
 def msg(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ PUBLISHED = [
     ("run_05_seed2024", "Random Forest", 0.967968, 0.957895, 0.931741, 0.944637, 0.996548, 273, 12, 694, 20, False, False),
 ]
 
-# Published means (4 decimals): accuracy, precision, recall, f1, auc.
+# Published means (4 decimals): accuracy, precision, recall, f1, auc.
 MEANS = {
     "Logistic Regression": (0.9614, 0.8867, 0.9959, 0.9381, 0.9970),
     "Naive Bayes": (0.9137, 0.9927, 0.7113, 0.8278, 0.9967),
