@@ -10,6 +10,7 @@ equal verdicts and an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,26 +86,48 @@ def measures(words: Column, text: Column) -> dict[str, Column]:
     }
 
 
+def ratios(get: Callable[[str], Column]) -> dict[str, Column]:
+    """The ratios of the measures that ``get`` names."""
+    part = F.greatest(get("n_words"), F.lit(1))
+    return {
+        "repeat_ratio": get("n_repeat_words") / part,
+        "symbol_ratio": get("n_symbols") / F.greatest(get("word_chars"), F.lit(1)),
+        "bang_ratio": get("n_bangs") / part,
+        "mean_word": get("word_chars") / part,
+        "dup_line_ratio": get("n_dup_lines") / F.greatest(get("n_lines"), F.lit(1)),
+    }
+
+
+def base_failed(get: Callable[[str], Column]) -> Column:
+    return (get("n_words") < 50) | (100 * get("n_repeat_words") > 50 * get("n_words"))
+
+
 def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with the measures, base_failed, the names of the failed rules
     and kept."""
-    part = F.greatest("n_words", F.lit(1))
-    ratios = {
-        "repeat_ratio": F.col("n_repeat_words") / part,
-        "symbol_ratio": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)),
-        "bang_ratio": F.col("n_bangs") / part,
-        "mean_word": F.col("word_chars") / part,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-    }
     found = measures(F.col("_words"), F.col("text"))
     failed = F.filter(F.array(*(F.when(~CHECKS[op](F.col(name), t), F.lit(rule)) for rule, name, op, t in rules)),
                       lambda x: x.isNotNull())
     return (docs.withColumn("_words", split_words(F.col("text"))).withColumns(found).drop("_words")
-            .withColumns(ratios)
-            .withColumns({"failed_rules": failed, "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))})
+            .withColumns(ratios(F.col))
+            .withColumns({"failed_rules": failed, "base_failed": base_failed(F.col)})
             .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
 
 
+def passes(text: Column, rules=RULES) -> Column:
+    """``kept`` as one condition for a filter. Spark writes a filter's columns
+    out wherever they are named; here each measure is taken once, as a field of
+    a lambda's variable."""
+    def judge(m: Column) -> Column:
+        get = {**{name: m[name] for name in names}, **ratios(lambda c: m[c])}
+        good = [CHECKS[op](get[name], t) for _, name, op, t in rules]
+        return reduce(Column.__and__, good, ~base_failed(lambda c: m[c]))
+
+    names = list(measures(F.array(), text))
+    return let(split_words(text), lambda w: let(
+        F.struct(*(c.alias(name) for name, c in measures(w, text).items())), judge))
+
+
 OUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -114,9 +137,8 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that no rule rejects, columns unchanged
-    (they are kept apart from the measures, whatever their names)."""
-    return quality_rules(docs.select(F.struct("*").alias("_doc"), "text")).where("kept").select("_doc.*")
+    """Pipeline stage: the documents that no rule rejects, columns unchanged."""
+    return docs.where(passes(F.col("text")))
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)

@@ -3,7 +3,10 @@
 import hashlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from sievekit.llm import license_scan, line_dedup, quality_rules
+from tests.conftest import SF_SMALL
 from tests.llm.fixtures import LOWER, rows, table, words
 
 STRIP = " \t\n\x0b\x0c\r"
@@ -73,3 +76,14 @@ def test_digest_is_of_kept_text(spark):
     from pyspark.sql import functions as F
     r = line_dedup.line_dedup(docs).select(F.sha2(F.col("text").cast("binary"), 256).alias("s")).first()
     assert r.s == hashlib.sha256("é\nb".encode()).hexdigest()
+
+
+def test_quality_stage_keeps_what_the_rules_keep(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumn("n_words", F.lit("clash"))
+    odd = docs.limit(3).withColumn("text", F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.lit(None)))
+    docs = docs.unionByName(odd)
+    want = quality_rules.quality_rules(docs.drop("n_words")).where("kept").select("doc_id")
+    got = quality_rules.keep_good(spark, docs, SF_SMALL)
+    assert got.columns == docs.columns and want.count() > 0
+    assert got.select("doc_id").exceptAll(want).count() == want.exceptAll(got.select("doc_id")).count() == 0
+    assert quality_rules.keep_good(spark, docs.limit(0), SF_SMALL).count() == 0
