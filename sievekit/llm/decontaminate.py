@@ -38,6 +38,8 @@ WORDS = 5
 PERCENT = 75
 BLOCK_SHINGLES = 500_000
 
+# A word in text, and the flags of its bytes in lower-cased UTF-8.
+WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 MEMBER = np.zeros(256, bool)
 MEMBER[48:58] = MEMBER[97:123] = MEMBER[128:] = True
 
@@ -115,8 +117,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_shing
     document row and item that leaks into it."""
     spark = docs.sparkSession
     src = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    # words bound the shingles from above
-    total = src.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    # an item has at most as many shingles as words
+    total = src.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     n_blocks = max(1, -(-total // block_shingles))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None

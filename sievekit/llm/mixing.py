@@ -147,9 +147,11 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 def apply_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it; a copy that
     the quota cuts short keeps its first words, with its own white space."""
-    mix = mix_sources(docs).select(F.col("doc_id").alias("_id"), "row_key", "full", "rest", "size").dropDuplicates(["_id", "row_key"])
-    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), F.coalesce("text", F.lit("")).alias("_text"))
-    joined = rows.join(mix, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("row_key")))
+    # rows equal in doc_id, source and text lie in one shard, so they share ``full``; each takes the larger ``rest``
+    mix = (mix_sources(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "row_key")
+           .agg(F.max("full").alias("full"), F.max("rest").alias("rest"), F.max("size").alias("size")))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_own"), F.col("source").alias("_from"), F.coalesce("text", F.lit("")).alias("_text"))
+    joined = rows.join(mix, F.col("_own").eqNullSafe(F.col("_id")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.xxhash64("_text") == F.col("row_key")))
     # -1: a whole copy; else the words of a copy cut short
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.when(F.col("size") > 0, F.col("full")).otherwise(0).cast("int")),
                       F.when(F.col("rest") > 0, F.array("rest")).otherwise(F.array().cast("array<long>")))

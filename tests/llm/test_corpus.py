@@ -72,6 +72,24 @@ def encoder():
     return Tokenizer.from_file(token_output.tokenizer_path())
 
 
+def test_mix_applied_to_repeated_rows(spark):
+    # one doc_id and text under two sources, and rows equal in all three
+    data = [(1, "a b c d", "en", src, 7) + ("c",) * 11 for src in ("s1", "s2", None, None)]
+    data += [(10 + i, "w x y z " * 30, "en", "s2", 7) + ("c",) * 11 for i in range(4)]
+    docs = table(spark, data)
+    mix = mixing.mix_sources(docs).collect()
+    most = {}
+    for r in mix:
+        key = (r.doc_id, r.source)
+        most[key] = max(most.get(key, (0, 0)), (r.full, r.rest))
+    want = Counter()
+    for x in data:
+        full, rest = most[x[0], x[3]]
+        want[x[0], x[3]] += full + (rest > 0)
+    got = Counter((r.doc_id, r.source) for r in mixing.apply_mix(spark, docs, "").collect())
+    assert got == +want
+
+
 def test_token_files_round_trip(spark):
     data = rows()
     got = token_output.token_output(table(spark)).orderBy("start").collect()

@@ -5,7 +5,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievekit.llm import decontaminate, near_dedup, suffix_dedup
 from tests.llm.fixtures import SCHEMA, rows, shingles, table, words
@@ -141,3 +143,10 @@ def test_decontaminate_without_rows(spark):
     assert decontaminate.leaks(spark.createDataFrame([], SCHEMA), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
 
 
+def test_item_blocks_are_bounded_by_words(spark):
+    # words joined by marks without white space count one by one
+    text = ",".join(f"w{i}" for i in range(40)) + " é中 🙂 K"
+    got = spark.createDataFrame([(text,)], "text string").select(F.regexp_count("text", F.lit(decontaminate.WORD))).first()[0]
+    assert got == 43
+    block = decontaminate.Text(*decontaminate.lower_buffers(pa.array([text])))
+    assert block.words[-1] == got
