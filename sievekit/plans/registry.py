@@ -21,6 +21,7 @@ from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import scoring as SC
 from ..operators.naive_bayes import fit_naive_bayes, load_scorer, save_scorer
+from ..schemas import CORRECTIONS
 from ..session import shared_path
 from ..sources import files as FI
 from ..sources import standins as ST
@@ -839,6 +840,61 @@ def corrections_feed(spark, sf_dir):
                                                     ST.flips(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------------------------------
+# sinks, each written to the shared folder and read back
+
+@register("checkpoint_stage", """
+SELECT event_id, user_id, event_type, value FROM events""")
+def checkpoint_stage_query(spark, sf_dir):
+    """The events staged by user and continued from."""
+    e = S.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return checkpoint_stage(e, "events", key="user_id")
+
+
+@register("export_report_tables", with_(_PRED, """
+SELECT run_id, model_name, tn, fp, fn, tp FROM cnt"""))
+def export_report_tables(spark, sf_dir):
+    """The confusion table as published CSV with a header."""
+    keys = ["run_id", "model_name"]
+    report = E.confusion_counts(_pred(spark, sf_dir), keys).select(*keys, "tn", "fp", "fn", "tp")
+    out = shared_path(spark, "reports")
+    FI.export_report_tables({"confusion": report}, out)
+    return spark.read.schema(report.schema).option("header", True).csv(f"{out}/confusion")
+
+
+@register("persist_mailbox", """
+SELECT event_id AS id, event_type AS texto, coalesce(event_type = 'error', false) AS "esSpam" FROM events""")
+def persist_mailbox(spark, sf_dir):
+    """Spam and inbox appended one after the other, then loaded."""
+    out = shared_path(spark, "mailbox")
+    box = ST.mailbox_t(spark, sf_dir)
+    for part in (F.col("esSpam"), ~F.col("esSpam")):
+        FI.persist_mailbox(box.where(part), out)
+    return FI.load_mailbox(spark, out)
+
+
+@register("append_corrections", with_(_FLIPS_SQL, """
+SELECT texto AS texto_anonimizado, CAST("esSpam" AS INTEGER) AS etiqueta_correcta,
+       'pendiente' AS estado FROM corrected WHERE changed"""))
+def append_corrections(spark, sf_dir):
+    """The corrections feed appended to its table, then read."""
+    out = shared_path(spark, "corrections")
+    FI.append_corrections(corrections_feed(spark, sf_dir), out)
+    return spark.read.schema(CORRECTIONS).parquet(out)
+
+
+@register("bump_model_version", """
+SELECT max(user_id) + n AS version FROM events CROSS JOIN (VALUES (0), (1), (2)) v(n) GROUP BY n""")
+def bump_model_version(spark, sf_dir):
+    """M9: a registry with the users' numbers as versions, raised twice; the
+    last version before and the two after."""
+    out = shared_path(spark, "versions")
+    S.table(spark, sf_dir, "events").select(F.col("user_id").alias("version")).write.parquet(out)
+    for _ in range(2):
+        last = X.bump_model_version(spark, out)
+    return spark.read.schema("version long").parquet(out).where(F.col("version") >= last - 2).distinct()
+
+
 def _upload_lines(spark, sf_dir):
     """I4: the uploaded 'file' = every conversation text, line ids from BATCH_MS."""
     conv = S.table(spark, sf_dir, "conversations")
