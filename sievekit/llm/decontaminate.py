@@ -14,8 +14,11 @@ Items are taken in blocks of at most about ``block_shingles`` shingles; each
 block is broadcast (that bound is its size) and the documents are scanned once
 for it, without a shuffle. Any number of items takes the same path.
 
-Words are runs of letters and digits in lower case, so leaks that differ in
-case or punctuation are found.
+Words are runs of letters, marks and digits (Unicode classes L, M and N) in
+lower case, so leaks that differ in case or punctuation are found, typographic
+quotes, dashes and spaces included. In scripts written without spaces
+(``SINGLE``) each letter with its marks is a word. Other code points, symbols
+and format characters too, separate words; texts are not normalised.
 
 Cases: null and empty texts hold nothing; an item without words matches
 nothing; an item or document with fewer than five words has its whole sequence
@@ -26,22 +29,69 @@ rows with a null id are reported with it; other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import buffers, shingle_hashes, slices, word_hashes
+from .arrays import buffers, prefix, shingle_hashes, slices, span_hash
 
 WORDS = 5
 PERCENT = 75
 BLOCK_SHINGLES = 500_000
 
-# A word in text, and the flags of its bytes in lower-cased UTF-8.
-WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-MEMBER = np.zeros(256, bool)
-MEMBER[48:58] = MEMBER[97:123] = MEMBER[128:] = True
+# Code points of scripts written without spaces: Thai, Lao, Myanmar, Khmer,
+# kana, bopomofo and Han.
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF),
+          (0x4E00, 0x9FFF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+# A word in text, for Java.
+_RANGES = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in SINGLE)
+WORD = rf"[\p{{L}}\p{{N}}&&[{_RANGES}]]\p{{M}}*|(?:[\p{{L}}\p{{N}}&&[^{_RANGES}]]|\p{{M}})+"
+
+# Kinds of code points, found when first needed.
+OTHER, RUN, ONE, MARK, UNKNOWN = range(5)
+_KINDS: dict[str, np.ndarray] = {}
+
+
+def kind(cp: int) -> int:
+    group = unicodedata.category(chr(cp))[0]
+    if group in "LN":
+        return ONE if any(a <= cp <= b for a, b in SINGLE) else RUN
+    return MARK if group == "M" else OTHER
+
+
+def kinds(cp: np.ndarray) -> np.ndarray:
+    table = _KINDS.setdefault("k", np.full(0x110000, UNKNOWN, np.int8))
+    out = table[cp]
+    if (out == UNKNOWN).any():
+        for c in np.unique(cp[out == UNKNOWN]).tolist():
+            table[c] = kind(c)
+        out = table[cp]
+    return out
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in bytes of the words of the rows, as ``WORD`` has them."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(at) == len(data):
+        cp = data
+    else:
+        cp = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    k = kinds(cp)
+    row = np.zeros(len(k) + 1, bool)
+    row[np.searchsorted(at, offsets)] = True
+    k[row[:-1] & (k == MARK)] = RUN
+    # the kind of the last code point that is no mark
+    base = k[np.maximum.accumulate(np.where(k == MARK, 0, np.arange(len(k))))]
+    inside = k != OTHER
+    begin = inside & (row[:-1] | (k == ONE))
+    begin[1:] |= inside[1:] & (~inside[:-1] | ((k[1:] == RUN) & (base[:-1] == ONE)))
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | begin[1:]
+    return at[begin], np.append(at, len(data))[1:][last]
 
 
 class Text:
@@ -49,7 +99,9 @@ class Text:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.data = data
-        h, self.start, self.end, self.words = word_hashes(data, offsets, MEMBER)
+        self.start, self.end = word_spans(data, offsets)
+        self.words = np.searchsorted(self.start, offsets)
+        h = span_hash(prefix(data), self.start, self.end)
         self.hash, self.bounds = shingle_hashes(h, self.words, WORDS)
 
     def shingle(self, row: int, at: int) -> tuple[bytes, ...]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -150,3 +151,56 @@ def test_item_blocks_are_bounded_by_words(spark):
     assert got == 43
     block = decontaminate.Text(*decontaminate.lower_buffers(pa.array([text])))
     assert block.words[-1] == got
+
+
+def words_by_character(text):
+    """Letters, marks and digits one by one, without a pattern or table."""
+    out, last = [], None
+    for c in (text or "").lower():
+        name = unicodedata.name(c, "")
+        if unicodedata.category(c)[0] == "M":
+            out.append(c) if last is None else out.__setitem__(-1, out[-1] + c)
+            last = last or "run"
+        elif c.isalnum():
+            alone = name.startswith(("CJK ", "HIRAGANA", "KATAKANA", "THAI", "IDEOGRAPHIC"))
+            out.append(c) if alone or last != "run" else out.__setitem__(-1, out[-1] + c)
+            last = "alone" if alone else "run"
+        else:
+            last = None
+    return out
+
+
+def typographic():
+    plain = "he said \"yes - we can't, not now\" and left the old house - at once; then all of it was quiet"
+    curly = plain.replace(' "', " \u201c").replace('"', "\u201d").replace(" - ", "\u2014").replace("'", "\u2019").replace("the old", "the\u00a0old").replace("; ", "\u2009\u2026\u00ab")
+    chinese = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u3002\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\uff0c\u770b\u82b1"
+    kana = "\u304d\u3087\u3046\u306f\u3044\u3044\u5929\u6c17\u3067\u3059\u306d\u30b9\u30d1\u30fc\u30af"
+    thai = "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35\u0e21\u0e32\u0e01"
+    hindi = "\u0906\u091c \u092e\u094c\u0938\u092e \u092c\u0939\u0941\u0924 \u0905\u091a\u094d\u091b\u093e \u0939\u0948 \u0914\u0930 \u0939\u092e \u0916\u0941\u0936 \u0939\u0948\u0902"
+    docs = ["Before: " + curly + " \U0001f642 after", "before " + plain + " after", "x" + chinese.replace("\u3002", "\uff01") + "y z", kana + "abc " + kana[:5], "a " + thai + " b",
+            "\u300c" + hindi.replace(" ", "\u3000") + "\u300d", "\u0301odd e\u0301t\u00e9 " + curly[:30], chinese[:4], None, ""]
+    items = [(1, plain), (2, curly.upper()), (3, chinese), (4, kana), (5, thai), (6, hindi), (7, "\u3002\u2014\u201c\U0001f642")]
+    return [(i, t, "en", "s", 1, *EXTRA) for i, t in enumerate(docs)], items
+
+
+def test_decontaminate_by_unicode_words(spark):
+    docs, items = typographic()
+    want = Counter()
+    for r in docs:
+        own = shingles(words_by_character(r[1]))
+        for i, t in items:
+            s = shingles(words_by_character(t))
+            if s and 100 * len(s & own) >= 75 * len(s):
+                want[(r[0], i, len(s), len(s & own))] += 1
+    assert {k[:2] for k in want} == {(0, 1), (0, 2), (1, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 6)}
+    got = decontaminate.leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter(tuple(r)[:4] for r in got.collect()) == want
+
+
+def test_words_are_counted_as_they_are_taken(spark):
+    texts = [r[1] or "" for r in typographic()[0] + rows()]
+    counts = [len(words_by_character(t)) for t in texts]
+    block = decontaminate.Text(*decontaminate.lower_buffers(pa.array(texts)))
+    assert np.diff(block.words).tolist() == counts
+    at = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", F.regexp_count("text", F.lit(decontaminate.WORD)).alias("n"))
+    assert [r.n for r in at.orderBy("i").collect()] == counts
