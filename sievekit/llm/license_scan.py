@@ -17,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .line_dedup import split_lines
 
-# Public licence texts and the usual one-line notices.
-KNOWN = {
+# Public licence texts and the usual one-line notices, with those
+# of license_texts.
+KNOWN = license_texts.texts() | {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
@@ -43,18 +45,36 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
 }
 
+KNOWN |= {f"{name}-bare": KNOWN[f"{name}-text"].split("\n", 1)[1] for name in ("MIT", "ISC")}
+
 # Spellings taken as equal, applied in this order to whole words.
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"),
              ("merchantibility", "merchantability"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"),
-             ("whilst", "while"), ("favour", "favor"), ("per cent", "percent"), ("copyright owner", "copyright holder"))
-COPYRIGHT_LINE = r"(?m)^[^\w\n]*(?:copyright\b|\(c\)|©)[^\n]*\b(?:\d{4}|year|yyyy)\b[^\n]*$|^[^\w\n]*all rights reserved[^\w\n]*$"
+             ("whilst", "while"), ("favour", "favor"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
+             ("https", "http"), ("the mit license mit", "mit license"), ("mit license mit", "mit license"), ("the mit license", "mit license"), ("the isc license", "isc license"),
+             ("isc license isc", "isc license"), ("3 clause bsd license", "bsd 3 clause license"), ("2 clause bsd license", "bsd 2 clause license"),
+             ("the bsd 3 clause license", "bsd 3 clause license"), ("the bsd 2 clause license", "bsd 2 clause license"))
+# Copyright lines: with a year; with the sign; "the ... authors" and the like; and
+# short paragraphs of lines that begin with the word (a wrapped licence text
+# has such lines, but not as paragraphs).
+_BLANK = r"[ \t\r*#/;>-]*"
+_LINE = r"[^\w\n]*(?:copyright[ \t]|all rights reserved)[^\n]{0,100}"
+COPYRIGHT_LINE = "|".join((
+    r"(?m)^[^\w\n]*(?:copyright\b|\(c\)|©)[^\n]*\b(?:\d{4}|year|yyyy)\b[^\n]*$",
+    r"^[^\w\n]*all rights reserved[^\w\n]*$",
+    r"^[^\w\n]*copyright[ \t]*(?:\(c\)|©)[^\n]*$",
+    r"^[^\w\n]*(?:\(c\)|©)[ \t]*copyright\b[^\n]*$",
+    r"^[^\w\n]*copyright[ \t]+(?:by[ \t]+)?the\b[^\n]*\b(?:authors?|contributors?|developers?|team|project|foundation|maintainers?)\b[^\w\n]*(?:all rights reserved)?[^\w\n]*$",
+    rf"(?:\A|\n{_BLANK}\n)(?:{_LINE}\n(?:{_BLANK}\n)?){{0,4}}{_LINE}(?:\n{_BLANK}\n|\n{_BLANK}\z|\z)"))
 
 
 def canonical(text: Column) -> Column:
     """Lower case; copyright lines out; each run of other characters than
     letters and digits is one space; equivalent spellings unified."""
     out = F.lower(F.coalesce(text, F.lit("")))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
+    # the pattern is slow, and matches only where one of these stands
+    some = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("all rights reserved"))
+    out = F.when(some, F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
     out = F.concat(F.lit(" "), F.btrim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))

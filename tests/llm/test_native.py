@@ -87,3 +87,45 @@ def test_quality_stage_keeps_what_the_rules_keep(spark):
     assert got.columns == docs.columns and want.count() > 0
     assert got.select("doc_id").exceptAll(want).count() == want.exceptAll(got.select("doc_id")).count() == 0
     assert quality_rules.keep_good(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
+def reflowed(text):
+    """In upper case, a line for each paragraph but those of copyright lines."""
+    return "\n\n".join(part if "COPYRIGHT (C)" in part else " ".join(part.split()) for part in text.upper().split("\n\n"))
+
+
+def license_cases():
+    """(text, licence) of texts that stand under other titles, owners and line breaks."""
+    common = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    out = []
+    for file, name in common.items():
+        text = open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()
+        out += [(text, f"{name}-text"), (reflowed(text), f"{name}-text"), (text[:-200], None)]
+    gpl = open("/usr/share/common-licenses/GPL-3", encoding="utf-8").read()
+    out += [(gpl.replace("https:", "http:"), "GPL-3.0-text"), (gpl[:gpl.index("END OF TERMS")], "GPL-3.0-terms")]
+    mit = license_scan.KNOWN["MIT-text"].split("\n\n", 2)[2]
+    for top in ("MIT License\n\nCopyright (c) Microsoft Corporation.", "The MIT License (MIT)\n\nCopyright The Kit Authors", "The MIT License\nCopyright © Jane Doe", "MIT License\n\nCopyright Jane Doe\nCopyright ACME Ltd. All rights reserved.",
+                "MIT License\n\n  Copyright Jane Doe\n\n  Copyright ACME Ltd.\n"):
+        out += [(f"{top}\n\n{mit}", "MIT-text"), (f"{top}\n\n{reflowed(mit)}\n", "MIT-text")]
+    out += [(f"Copyright Jane Doe\n\n{mit}", "MIT-bare"), (mit, "MIT-bare"), (f"MIT License\n\nCopyright Jane Doe\n\nNot {mit}", None)]
+    bsd = open("/usr/share/common-licenses/BSD", encoding="utf-8").read()
+    out += [(bsd, "BSD-3-Clause-UC-bare")]
+    holders = bsd.split("reserved.", 1)[1].replace("the University", "the copyright holder").replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR").replace("THE REGENTS", "THE COPYRIGHT HOLDERS")
+    out += [(f"The 3-Clause BSD License\n\nCopyright (c) 2020, X\n{holders}", "BSD-3-Clause-text"), ("Copyright 2020 X\n" + holders.replace("\n1. ", "\n- ").replace("\n2. ", "\n- ").replace("\n3. ", "\n- "), "BSD-3-Clause-bare-bullets")]
+    out += [("SPDX-License-Identifier: MPL-2.0", "MPL-2.0-spdx"), ("This project is licensed under the Mozilla Public License 2.0.", "MPL-2.0-project-3"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+            ("Copyright law is a branch of law, and this long paragraph about it begins with the word without being the notice of any owner.", None), (None, None), ("copyright Jane Doe", None)]
+    return out
+
+
+def test_known_licenses(spark):
+    import duckdb
+    cases = license_cases()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert [(i, got[i].license) for i in range(len(cases))] == [(i, name) for i, (_, name) in enumerate(cases)]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got[len(cases) - 3].digest != empty and got[len(cases) - 1].digest == empty
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(cases)])
+    assert {r[0]: r[1:3] for r in con.execute(license_scan.oracle_sql()).fetchall()} == {i: (r.digest, r.license) for i, r in got.items()}
