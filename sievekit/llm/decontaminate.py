@@ -164,20 +164,24 @@ def find(block: dict, column: pa.Array):
 SCHEMA = "doc_id long, item_id long, n_item_shingles long, n_shared long"
 
 
-def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_item_shingles, n_shared, containment), a row per
-    document row and item that leaks into it."""
-    spark = docs.sparkSession
+def item_blocks(items: DataFrame, percent: int, block_shingles: int):
+    """Yields the broadcast blocks of the items, one at least."""
+    spark = items.sparkSession
     src = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     # an item has at most as many shingles as words
     total = src.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] or 0
     n_blocks = max(1, -(-total // block_shingles))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
     for k in range(n_blocks):
         rows = src.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(build_block([r["item_id"] for r in rows], [r["text"] for r in rows], percent))
+        yield spark.sparkContext.broadcast(build_block([r["item_id"] for r in rows], [r["text"] for r in rows], percent))
+
 
+def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(doc_id, item_id, n_item_shingles, n_shared, containment), a row per
+    document row and item that leaks into it."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = None
+    for shared in item_blocks(items, percent, block_shingles):
         def search(batches, shared=shared):
             for batch in batches:
                 if batch.num_rows:
@@ -195,7 +199,21 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """The rows of ``docs`` into whose own text no item leaks, whatever their
+    ids: a filter within the scan, without a shuffle."""
+    for shared in item_blocks(items, percent, block_shingles):
+        def clean(batches, shared=shared):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                if batch.num_rows:
+                    keep[[g[0] for g in find(shared.value, batch.column("text"))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents into which no item leaks."""
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_leak"]), "left_anti").select(*docs.columns)
+    """Pipeline stage: the documents into which no item leaks, row by row."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

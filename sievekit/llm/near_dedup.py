@@ -249,6 +249,14 @@ def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component, columns unchanged."""
-    kept = near_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi").select(*docs.columns)
+    """Pipeline stage: one row of each component, columns unchanged.
+
+    Each row is a document of its own here, whatever its doc_id: rows are
+    numbered in a written stage, and the numbers are the ids of the search. Of
+    a component the row with the least doc_id (null first) is kept, of equal
+    ones that with the least text digest. Rows without words all stay."""
+    numbered = checkpoint_stage(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "near_rows")
+    found = near_dedup(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root"))
+    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.col("_row").alias("row"))
+    kept = numbered.select("_row", order.alias("_order")).join(found, "_row").groupBy("_root").agg(F.min("_order").alias("_least"))
+    return numbered.join(kept.select(F.col("_least.row").alias("_row")), "_row", "left_semi").select(*docs.columns)

@@ -204,3 +204,35 @@ def test_words_are_counted_as_they_are_taken(spark):
     assert np.diff(block.words).tolist() == counts
     at = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", F.regexp_count("text", F.lit(decontaminate.WORD)).alias("n"))
     assert [r.n for r in at.orderBy("i").collect()] == counts
+
+
+def shared_ids():
+    """Rows under null and repeated ids: near copies, copies and unlike texts."""
+    t = [" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef"]
+    near = lambda x: x + " tail"
+    return [(i, x, "en", "s", 1, *EXTRA) for i, x in ((9, t[0]), (9, t[1]), (5, near(t[0])), (None, t[2]), (None, t[2]), (None, t[3]), (None, near(t[3])), (4, t[4]), (4, t[4]),
+                                                      (3, near(t[2])), (None, None), (None, ""), (7, ""), (7, t[5]))], t, near
+
+
+def test_near_dedup_stage_decides_by_row(spark):
+    data, t, near = shared_ids()
+    docs = table(spark, data)
+    out = near_dedup.keep_one(spark, docs, "")
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    three = [x for x in got if x[0] is None and x[1] in (t[3], near(t[3]))]
+    assert len(three) == 1 and got == Counter([(9, t[1]), (5, near(t[0])), (None, t[2]), three[0], (4, t[4]), (None, None), (None, ""), (7, ""), (7, t[5])])
+    assert out.schema == docs.schema
+    again = near_dedup.keep_one(spark, table(spark, data[::-1]), "")
+    assert Counter((r.doc_id, r.text) for r in again.collect()) == got
+    assert near_dedup.keep_one(spark, table(spark, []), "").count() == 0
+
+
+@pytest.mark.parametrize("block", [500_000, 20])
+def test_leaks_are_dropped_by_row(spark, block):
+    data, t, _ = shared_ids()
+    docs = table(spark, data)
+    items = spark.createDataFrame([(1, " ".join(t[1].split()[5:30])), (2, " ".join(t[2].split()[9:40]).upper()), (3, "")], "item_id long, text string")
+    out = decontaminate.without_leaks(docs, items, block_shingles=block)
+    assert out.schema == docs.schema and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, out.collect())) == Counter(r for r in map(tuple, docs.collect()) if not (r[1] or "").startswith((t[1], t[2])))
+    assert decontaminate.without_leaks(docs.limit(0), items).count() == 0
