@@ -10,10 +10,15 @@ File format, one file per range of doc_ids, in ascending order of doc_id:
 The index is a Parquet table (file_no, record_no, doc_id, byte_offset, n_bytes,
 n_tokens, start), so any record can be read by itself, in any order.
 
+There is a file for about ``FILE_BYTES`` of texts, so files and tasks grow with
+the input and no file grows beyond a task's share.
+
 Encoding: a text is cut where ASCII white space follows a character that is
 not white space, and where an ASCII mark follows an ASCII letter or digit. The pre-tokenizer always cuts there, so the text's ids are
-the ids of its chunks in order; chunks repeat, so each distinct one of a slice
-is encoded once by the tokenizer and its ids are gathered for all places.
+the ids of its chunks in order; chunks repeat, so each distinct one is encoded
+once by a worker's tokenizer, kept by two 64-bit hashes in a bounded table, and
+its ids are gathered for all places. A slice in which two chunks have one key
+and differ in the second hash is encoded text by text.
 
 A task writes its file under a name of its own attempt and renames it, so a
 lost executor's repeated task replaces the file by an equal one.
@@ -26,6 +31,7 @@ an empty table gives no files and an empty result; other columns are not read.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
 
@@ -39,8 +45,9 @@ from ..sources.stage import checkpoint_stage
 from .arrays import ASCII_SPACE, buffers, gather, prefix, slices, span_hash
 
 HEADER = b"SIEVEIDS"
-CACHE_CHUNKS = 1_000_000
-SLICE = 2 << 20
+CACHE_BYTES = 32 << 20
+SLICE = 1 << 20
+FILE_BYTES = 64 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -98,6 +105,10 @@ NOT_PLAIN[:0x21] = True
 NOT_PLAIN[[0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+#: Another order of the bytes' values, for the second hash.
+SHUFFLED = (np.arange(256) * 167 + 91 & 255).astype(np.uint8)
+
+
 class ChunkEncoder:
     """Encodes slices of texts; distinct chunks are encoded once and kept.
 
@@ -120,9 +131,17 @@ class ChunkEncoder:
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)  # sorted
+        self.second = np.zeros(0, np.uint64)  # another hash of each key's chunk
         self.place = np.zeros(0, np.int64)  # of each key, among the rows of (table, bounds)
         self.table, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.second, self.place, self.table, self.bounds))
+
+    def whole(self, data, offsets) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of the rows, each encoded as it stands."""
+        return self._encode_single(data, offsets[:-1], offsets[1:])
+
     def _encode_joined(self, data, start, end) -> tuple[np.ndarray, np.ndarray]:
         size = end - start
         at = np.cumsum(size + 1)
@@ -154,33 +173,51 @@ class ChunkEncoder:
         end = np.append(start[1:], len(data))
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        key, first, which = np.unique(span_hash(prefix(data), start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_CHUNKS:
+        one = span_hash(prefix(data), start, end)
+        two = span_hash(prefix(SHUFFLED[data]), start, end)
+        key, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if self.held() > CACHE_BYTES:
             self.clear()
         at = np.searchsorted(self.keys, key)
         new = np.ones(len(key), bool)
         if len(self.keys):
-            new = self.keys[np.minimum(at, len(self.keys) - 1)] != key
+            near = np.minimum(at, len(self.keys) - 1)
+            new = self.keys[near] != key
+            if (self.second[near] != two[first])[~new].any():
+                return self.whole(data, offsets)
+        if (two != two[first][which]).any():
+            return self.whole(data, offsets)
         if new.any():
-            s, e, k = start[first[new]], end[first[new]], key[new]
+            s, e = start[first[new]], end[first[new]]
             odd = np.append(0, np.cumsum(NOT_PLAIN[data]))
             plain = (odd[e] == odd[s + 1]) & ((data[s] == 0x20) & (e - s > 1) | ~NOT_PLAIN[data[s]])
             if not self.joins:
                 plain[:] = False
+            place = np.zeros(len(s), np.int64)
             for group, encode in ((plain, self._encode_joined), (~plain, self._encode_single)):
                 if group.any():
                     ids, bounds = encode(data, s[group], e[group])
-                    self.keys = np.append(self.keys, k[group])
-                    self.place = np.append(self.place, len(self.bounds) - 1 + np.arange(len(bounds) - 1))
+                    place[group] = len(self.bounds) - 1 + np.arange(len(bounds) - 1)
                     self.bounds = np.append(self.bounds, bounds[1:] + len(self.table))
                     self.table = np.append(self.table, ids)
-            order = np.argsort(self.keys, kind="stable")
-            self.keys, self.place = self.keys[order], self.place[order]
+            # new keys are sorted among themselves and go to their places
+            self.keys, self.second, self.place = (
+                np.insert(have, at[new], more) for have, more in ((self.keys, key[new]), (self.second, two[first[new]]), (self.place, place)))
         rows = self.place[np.searchsorted(self.keys, key)]
         ids, chunk_bounds = gather(self.table, self.bounds, rows[which])
         return ids, chunk_bounds[np.searchsorted(start, offsets)]
 
 
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this Python worker, kept over its tasks (functions are
+    pickled by value, so a global of this module would not last)."""
+    kept = sys.__dict__.setdefault("_sievekit_encoders", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = ChunkEncoder(path)
+    return kept[path]
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
@@ -193,7 +230,7 @@ def _writer(tokenizer: str, folder: str, end_id: int):
         where, path = _filesystem(folder)
         no = TaskContext.get().partitionId()
         part = f"{path}/.part-{no:06d}-{uuid.uuid4().hex}"
-        out, coder, offset, start, record = None, ChunkEncoder(tokenizer), 16, 0, 0
+        out, coder, offset, start, record = None, worker_encoder(tokenizer), 16, 0, 0
         dtype = np.dtype("<u2" if coder.width == 2 else "<u4")
         for batch in batches:
             if not batch.num_rows:
@@ -235,7 +272,9 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0,
     where, path = _filesystem(folder)
     where.create_dir(path)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # files of about FILE_BYTES, and work for all cores
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 8)
+    n = n_files or max(spark.sparkContext.defaultParallelism, -(-(src.agg(size.alias("s")).first()["s"] or 0) // FILE_BYTES))
     # rows of one doc_id may lie in one range only, so the order holds over all files
     dealt = src.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     index = checkpoint_stage(dealt.mapInArrow(_writer(tokenizer or tokenizer_path(), folder, end_id), INDEX), "token_index")

@@ -116,6 +116,23 @@ def test_chunks_encode_as_whole_texts():
         assert ids[bounds[k]:bounds[k + 1]].tolist() == coder.tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
+def test_chunks_with_one_key_are_told_apart(monkeypatch):
+    import pyarrow as pa
+    from sievekit.llm.arrays import buffers
+    real, calls = token_output.span_hash, []
+
+    def coarse(pre, start, end):
+        calls.append(1)
+        return real(pre, start, end) & np.uint64(3 if len(calls) % 2 else (1 << 64) - 1)
+
+    monkeypatch.setattr(token_output, "span_hash", coarse)
+    coder = token_output.ChunkEncoder(token_output.tokenizer_path())
+    for texts in (["one two"], ["three four five", None, "one"], ["two", "six seven, eight nine ten!"]):
+        ids, bounds = coder.encode(*buffers(pa.array(texts)))
+        for k, t in enumerate(texts):
+            assert ids[bounds[k]:bounds[k + 1]].tolist() == coder.tok.encode(t or "", add_special_tokens=False).ids
+
+
 def test_damaged_records_are_found():
     rec = token_output.frame(b"\x01\x00\x02\x00")
     assert token_output.unframe(rec) == b"\x01\x00\x02\x00"
