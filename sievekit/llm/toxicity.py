@@ -244,7 +244,7 @@ def training_texts(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     """(text, toxic, part) of labelled texts, copies once; ``part`` 0 to 3 by text."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(3) != 1)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # bounded: broadcast
-    own = docs.join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    own = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     once = own.groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     return checkpoint_stage(once.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4)).cast("int")), "tox_train")
 

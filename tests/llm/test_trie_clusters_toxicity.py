@@ -167,7 +167,7 @@ def test_learned_lexicon_and_exceptions(spark):
         if toxic:
             for _ in range(2):
                 words.insert(random.randrange(len(words)), random.choice(["grumblix", "gr0mblix".replace("0", "u"), "snarfoo", "vexxoria", "vexxorie"]))
-        elif i % 5 == 0:
+        elif i % 30 == 1:
             at = random.randrange(len(words))
             words[at:at] = ["grumblix", "pie"]
         docs.append((i, " ".join(words), "c", "c", "c", "c"))
@@ -195,8 +195,8 @@ def test_toxicity_without_labels(spark):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in T.op13_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
     right = sum(r.predicted == truth[r.doc_id] for r in rows)
-    assert right / len(rows) > 0.9
+    assert right / len(rows) > 0.98
