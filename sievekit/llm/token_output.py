@@ -47,7 +47,7 @@ from .arrays import ASCII_SPACE, buffers, gather, prefix, slices, span_hash
 HEADER = b"SIEVEIDS"
 CACHE_BYTES = 32 << 20
 SLICE = 1 << 20
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 TOKENIZER = "byte_bpe_50k.json"
 
 
