@@ -35,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import partitions_for
 from ..sources.stage import checkpoint_stage
 
 DIMS = 64
@@ -44,6 +43,7 @@ CLUSTERS = 8
 ROUNDS = 10
 SEED = 3
 BLOCK = 2048
+BUCKET_BYTES = 64 << 20
 LIMIT = 1 << 27
 #: Relative slack of the bounds; doubles are exact to about 1e-16.
 SLACK = 1e-9
@@ -214,11 +214,13 @@ def centroid_clusters(embeddings: DataFrame, k: int = CLUSTERS, n_rounds: int =
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256)."""
     spark = embeddings.sparkSession
     vectors = kept_vectors(embeddings)
+    # buckets of about BUCKET_BYTES of vectors, and work for all cores
+    rows = vectors.count()
+    n = max(spark.sparkContext.defaultParallelism, -(-rows * DIMS * 4 // BUCKET_BYTES))
     start = first_centroids(vectors, k, seed)
     out = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
     if not start:
         return spark.createDataFrame([], out)
-    n = partitions_for(spark, vectors.rdd.getNumPartitions())
     blocks = checkpoint_stage(pack(vectors, block), "vectors", key="block", buckets=n)
     state, centroids = rounds(blocks, start, n_rounds, n, seen=seen)
 
