@@ -96,14 +96,17 @@ def results_table(pred: DataFrame, hyper: DataFrame | None = None,
 
 def bump_model_version(spark: SparkSession, registry_path: str) -> int:
     """M9: version = old max + 1 (absent -> 1), appended as a new row of a
-    parquet registry table in the shared folder; returns the new version."""
+    parquet registry table in the shared folder; returns the new version. The
+    number is claimed first (``operators.release``), so of two writers at once
+    each gets its own."""
+    from ..sources.stage import move_file_into, path_exists
+    from .release import claim_version
     schema = "version long"
-    path = spark._jvm.org.apache.hadoop.fs.Path(registry_path)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        cur = spark.read.schema(schema).parquet(registry_path)
-        nxt = cur.agg((F.coalesce(F.max("version"), F.lit(0)) + 1).alias("version"))
-    else:
-        nxt = spark.createDataFrame([(1,)], schema)
-    row = nxt.collect()[0]     # one row
-    spark.createDataFrame([(row.version,)], schema).write.mode("append").parquet(registry_path)
-    return int(row.version)
+    above = 0
+    if path_exists(spark, registry_path):
+        above = spark.read.schema(schema).parquet(registry_path).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]   # one row
+    version = claim_version(spark, f"{registry_path}_versions", above)
+    row = f"{registry_path}_versions/rows/{version:09d}"
+    spark.createDataFrame([(version,)], schema).coalesce(1).write.parquet(row)
+    move_file_into(spark, row, registry_path, f"version-{version:09d}.parquet")   # appends to one folder at once would clash
+    return version

@@ -18,6 +18,27 @@ from pyspark.sql import DataFrame
 from ..session import shared_path
 
 
+def path_exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
+def move_file_into(spark, folder: str, to: str, name: str) -> None:
+    """Moves the one part file of ``folder`` to ``to/name`` in one step."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(new(to))
+    part = next(f.getPath() for f in fs.listStatus(new(folder)) if f.getPath().getName().startswith("part-"))
+    if not fs.rename(part, new(f"{to}/{name}")):
+        raise RuntimeError(f"{to}/{name} could not be written")
+
+
+def drop_path(spark, path: str) -> None:
+    """Deletes a written stage whose readers are done."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def checkpoint_stage(df: DataFrame, name: str = "stage", key: str | None = None,
                      buckets: int | None = None, prepartitioned: bool = False) -> DataFrame:
     """``prepartitioned``: ``df`` is already hash-partitioned by ``key`` into
