@@ -149,20 +149,54 @@ def numeric_columns(df: DataFrame, limit: int | None = 10) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)][:limit]
 
 
+PAIRS_PER_BLOCK = 40
+
+
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r for each pair i < j; nothing when fewer than two columns
-    remain. One scan: each row is unpivoted into its (pair, x, y) rows and a
-    single ``corr`` runs per pair with map-side partial aggregation (a
-    k(k-1)/2-wide aggregate would outgrow generated code and fall back to
-    interpretation)."""
+    """Pearson r for each pair i < j over the rows where both are present;
+    nothing when fewer than two columns remain.
+
+    Two scans. The first takes the means and null counts of the columns (one
+    row). The second sums the shifted values, their squares and the products of
+    the pairs, each row being read once and not unpivoted; shifting by the means
+    keeps the moments exact when a mean is large against the spread. Pairs come
+    in blocks of ``PAIRS_PER_BLOCK`` so that a block fits generated code; the
+    blocks scan side by side. A pair with nulls on either side has its own sums."""
+    cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, corr double")
-    arr = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                             F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-                    for a, b in pairs])
-    return (df.select(F.inline(arr)).groupBy("col_a", "col_b")
-            .agg(F.corr("x", "y").alias("corr")))
+    x = {c: F.col(c).cast("double") for c in cols}
+    first = df.agg(*[F.avg(x[c]).alias(f"m{i}") for i, c in enumerate(cols)], *[F.count_if(x[c].isNull()).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+    mean = {c: first[f"m{i}"] or 0.0 for i, c in enumerate(cols)}
+    has_null = {c: first[f"k{i}"] > 0 for i, c in enumerate(cols)}
+    d = {c: x[c] - F.lit(mean[c]) for c in cols}
+
+    def block(own: list[tuple[str, str]]) -> DataFrame:
+        sums, rows = {"n": F.count(F.lit(1))}, []
+
+        def total(name, value):
+            sums.setdefault(name, F.sum(value))
+            return F.col(name)
+
+        for i, (a, b) in enumerate(own):
+            both = d[a].isNotNull() & d[b].isNotNull()
+            if has_null[a] or has_null[b]:
+                u, v, tag = F.when(both, d[a]), F.when(both, d[b]), f"_{i}"
+                sums[f"n{tag}"] = F.count_if(both)
+                n, keys = F.col(f"n{tag}"), (f"a{tag}", f"b{tag}")
+            else:
+                u, v, n, keys = d[a], d[b], F.col("n"), (f"c{cols.index(a)}", f"c{cols.index(b)}")
+            su, sv = total(f"s{keys[0]}", u), total(f"s{keys[1]}", v)
+            quu, qvv = total(f"q{keys[0]}", u * u), total(f"q{keys[1]}", v * v)
+            p = total(f"p{i}", d[a] * d[b])
+            spread = F.sqrt((quu - su * su / n) * (qvv - sv * sv / n))
+            r = F.when((n > 1) & (spread > 0), (p - su * sv / n) / spread)
+            rows.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
+        return df.agg(*[s.alias(name) for name, s in sums.items()]).select(F.inline(F.array(*rows)))
+
+    out = [block(pairs[i:i + PAIRS_PER_BLOCK]) for i in range(0, len(pairs), PAIRS_PER_BLOCK)]
+    return reduce(DataFrame.unionByName, out)
 
 
 def scatter_pairs(df: DataFrame, cols: Sequence[str], corr: DataFrame | None = None) -> DataFrame:
@@ -179,13 +213,19 @@ def scatter_pairs(df: DataFrame, cols: Sequence[str], corr: DataFrame | None = N
     return pts.join(F.broadcast(c), ["x_col", "y_col"], "left")
 
 
+#: exp(-z*z/2) underflows to 0 beyond this |z|.
+REACH = 38.7
+
+
 def kernel_density(df: DataFrame, cols: Sequence[str], grid: int = 1000) -> DataFrame:
     """X11: Gaussian KDE per column on ``grid`` evenly spaced points over
     [min, max], bandwidth sd * n^(-1/5) (Scott), sd with ddof 1.
 
-    Values are counted first; each distinct (column, x, n) meets the broadcast
-    grid of (column, k, g) (#columns x grid rows), and densities are summed per
-    (column, k) with map-side partial aggregation: memory is grid."""
+    Values are counted first. exp(-z*z/2) is 0 in doubles beyond |z| = 38.6, so a
+    distinct value is given only the grid points within that reach, by their
+    numbers (no join with the grid); the reach narrows with the bandwidth as
+    rows grow. Densities are summed per (column, k) with map-side partial
+    aggregation: memory is grid."""
     vals = _long_values(df, cols)
     n = F.col("n").cast("double")
     st = vals.groupBy("column").agg(F.sum("n").alias("rows"), F.min("x").alias("mn"),
@@ -194,13 +234,16 @@ def kernel_density(df: DataFrame, cols: Sequence[str], grid: int = 1000) -> Data
     sd = dev.groupBy("column").agg(F.sum(n * F.pow(F.col("x") - F.col("mean"), F.lit(2))).alias("_ss"))
     st = st.join(sd, "column").withColumn(
         "h", F.sqrt(F.col("_ss") / (F.col("rows") - 1)) * F.pow(F.col("rows").cast("double"), F.lit(-0.2)))
-    g = (st.select("column", "rows", "h", "mn", "mx",
-                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
-         .withColumn("g", F.col("mn") + F.col("k") * (F.col("mx") - F.col("mn")) / (grid - 1)))
-    z = (F.col("g") - F.col("x")) / F.col("h")
-    dens = (vals.join(F.broadcast(g), "column")
-            .groupBy("column", "k", "g", "rows", "h")
-            .agg(F.sum(n * F.exp(F.lit(-0.5) * z * z)).alias("_s")))
+    step = (F.col("mx") - F.col("mn")) / (grid - 1)
+    at = lambda k: F.col("mn") + k * step
+    near = vals.join(F.broadcast(st.select("column", "rows", "h", "mn", "mx")), "column")      # a row per column
+    low = F.greatest(F.floor((F.col("x") - REACH * F.col("h") - F.col("mn")) / step), F.lit(0))
+    high = F.least(F.ceil((F.col("x") + REACH * F.col("h") - F.col("mn")) / step), F.lit(grid - 1))
+    near = near.select("column", "x", "n", "rows", "h", "mn", "mx", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("k"))
+    z = (at(F.col("k")) - F.col("x")) / F.col("h")
+    sums = near.groupBy("column", "k").agg(F.sum(n * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    points = st.select("column", "rows", "h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"), "mn", "mx").withColumn("g", at(F.col("k")))
+    dens = points.join(sums, ["column", "k"], "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
     return dens.select("column", "k", F.col("g").alias("x"),
                        (F.col("_s") / (F.col("rows") * F.col("h") * math.sqrt(2 * math.pi)))
                        .alias("density"))

@@ -1150,7 +1150,7 @@ def scatter_pairs(spark, sf_dir):
     return PR.scatter_pairs(part, PR.numeric_columns(part)).withColumn("corr", r6("corr"))
 
 
-KDE_GRID = 100
+KDE_GRID = 1000
 
 
 @register("kernel_density", "WITH long AS (" + " UNION ALL ".join(
@@ -1175,13 +1175,52 @@ def kernel_density(spark, sf_dir):
 
 @register("experiment_run")
 def experiment_run(spark, sf_dir):
-    """E16-E18 for the five seeds with the four fitted candidates (MLlib fits
-    have no exact SQL form): the results table without the wall-clock columns."""
+    """E16-E18 for the five seeds with the four fitted candidates (iterative
+    fits have no exact SQL form): the results table without the wall-clock columns."""
     from . import experiment as XP
     ex = XP.run_experiment(spark, sf_dir)
     return ex.results.drop("training_time_sec", "inference_time_sec", "date_trained")
 
 
+@register("experiment_exports")
+def experiment_exports(spark, sf_dir):
+    """S9 of the three report tables of real fits (five seeds, the relational
+    model, logistic regression and the SVM over the unlimited vocabulary of the
+    notebook cleaner), exported, read back and counted."""
+    from . import experiment as XP
+    ex = XP.run_experiment(spark, sf_dir, models=("Logistic Regression", "Naive Bayes", "Support Vector Machine"), cleaner="notebook", max_features=None)
+    out = shared_path(spark, "reports")
+    tables = {"experiment_results": ex.results, "confusion_matrix": ex.confusion, "hyperparameters": ex.hyperparameters}
+    FI.export_report_tables(tables, out)
+    read = [spark.read.option("header", True).csv(f"{out}/{name}").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("run_id").alias("runs"), F.count_distinct("model_name").alias("models"))
+            .select(F.lit(name).alias("table"), "rows", "runs", "models") for name in tables]
+    return read[0].unionByName(read[1]).unionByName(read[2])
+
+
+@register("release_confusion", O.flagship_sql(42))
+def release_confusion(spark, sf_dir):
+    """End to end (M8, M9): the relational model trained on the split of seed 42 and
+    published as a version; another session takes the newest version and scores
+    the raw texts of the test messages."""
+    from . import release as RL
+    registry = shared_path(spark, "registry")
+    RL.train_and_publish(spark, sf_dir, registry, cleaner="browser", models=("Naive Bayes",))
+    raw = FE.split_threshold(PL.labelled_messages(spark, sf_dir), 42).where("is_test")
+    scored = RL.score_with_latest(spark.newSession(), registry, raw.select("message_id", "original_text"))
+    pred = raw.select("message_id", F.col("label_num").alias("actual")).join(scored, "message_id")
+    return PL.confusion(pred, 42)
+
+
+@register("release_job")
+def release_job(spark, sf_dir):
+    """The whole job with the four candidates of the package variant: results,
+    rank by F1, and the version that the best one was published under."""
+    from . import release as RL
+    done = RL.train_and_publish(spark, sf_dir, shared_path(spark, "registry"))
+    return done.results.select("model_name", "accuracy", "precision", "recall", "f1_score", "auc", "f1_rank",
+                               F.when(F.col("f1_rank") == 1, F.lit(done.version)).alias("version"))
+
+
 @register("clean_text_notebook_stemmed")
 def clean_text_notebook_stemmed(spark, sf_dir):
     """T16 with T14 (Porter stemming through an Arrow UDF): no SQL stemmer."""
