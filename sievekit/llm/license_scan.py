@@ -9,7 +9,9 @@ one line of a longer document, so the scan can also be run on lines
 
 Cases: a null text counts as empty; an empty canonical text matches nothing;
 several licences with the same canonical text give the first name by code
-point; repeated rows give repeated results; other columns are not read.
+point; each row is judged by its own text, so null and shared ids mix nothing
+up; repeated rows give repeated results; very long texts and lines are read
+whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -108,14 +110,24 @@ def license_scan(docs: DataFrame, known: dict[str, str] = KNOWN, unit: str = "te
             .select(*keys, F.col("_digest").alias("digest"), F.when(F.col("_any"), F.col("license")).alias("license")))
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits of the text: rows with one text share their lines' licences."""
+    t = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(t).alias("_t1"), F.xxhash64(F.lit("second"), t).alias("_t2")]
+
+
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
     """The digest and licence of each whole text, and the licences that are
-    whole lines of it (scanned through the same operator)."""
+    whole lines of it (scanned through the same operator). Lines are brought
+    back by their text's key and not by doc_id; texts with a licence line alone
+    are on that side, once each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    whole = license_scan(docs)
-    lines = (license_scan(docs, unit="line").where("license IS NOT NULL")
-             .groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses")))
-    return whole.join(lines, "doc_id", "left").select("doc_id", "digest", "license", "line_licenses")
+    keyed = lambda: docs.select(F.struct("doc_id", *text_key(F.col("text"))).alias("doc_id"), "text")
+    own = ["doc_id._t1", "doc_id._t2"]
+    whole = license_scan(keyed()).select("doc_id.doc_id", *own, "digest", "license")
+    lines = (license_scan(keyed(), unit="line").where("license IS NOT NULL").select(*own, "license")
+             .groupBy("_t1", "_t2").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses")))
+    return whole.join(lines, ["_t1", "_t2"], "left").select("doc_id", "digest", "license", "line_licenses")
 
 
 def _sql_canonical(x: str) -> str:
@@ -132,10 +144,10 @@ def oracle_sql() -> str:
     return f"""
 WITH k AS (SELECT sha256({_sql_canonical('t')}) AS digest, min(license) AS license FROM (VALUES {values}) AS x(license, t) GROUP BY 1),
 d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-c AS (SELECT doc_id, {_sql_canonical('t')} AS c FROM d),
-l AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-ll AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
-       FROM (SELECT doc_id, {_sql_canonical('line')} AS c FROM l) JOIN k ON sha256(c) = digest WHERE c <> '' GROUP BY doc_id)
+c AS (SELECT doc_id, t, {_sql_canonical('t')} AS c FROM d),
+l AS (SELECT DISTINCT t, line FROM (SELECT t, unnest(string_split(t, chr(10))) AS line FROM (SELECT DISTINCT t FROM d))),
+ll AS (SELECT t, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses
+       FROM (SELECT t, {_sql_canonical('line')} AS c FROM l) JOIN k ON sha256(c) = digest WHERE c <> '' GROUP BY t)
 SELECT doc_id, sha256(c) AS digest, CASE WHEN c <> '' THEN license END AS license, line_licenses
-FROM c LEFT JOIN k ON sha256(c) = k.digest LEFT JOIN ll USING (doc_id)
+FROM c LEFT JOIN k ON sha256(c) = k.digest LEFT JOIN ll ON ll.t = c.t
 """
