@@ -32,6 +32,9 @@ GRAM = 3
 SEED = 23
 SLICE = 1 << 18
 UNKNOWN = "und"
+#: Cells of a slice's counts, and n-gram vectors that are spread out at once.
+CELLS = 1 << 22
+SPREAD = 4096
 
 
 class Memory:
@@ -97,16 +100,46 @@ class Memory:
             for k in range(self.gram):
                 code |= cp[k:k + m] << (21 * k)
             inside = (row[:m] == row[self.gram - 1:self.gram - 1 + m]) & (code != 0)
-            codes, which = np.unique(code[inside], return_inverse=True)
-            dense = np.bincount(row[:m][inside] * len(codes) + which, minlength=(b - a) * len(codes)).reshape(b - a, len(codes)) if len(codes) else np.zeros((b - a, 0), np.int64)
             has = np.bincount(row[cp != 0], minlength=b - a) > 0
-            yield a, b, codes, dense, has
+            of, code = row[:m][inside], code[inside]
+            for lo, hi, codes, which, rows in self.within(of, code, 0, b - a):
+                dense = np.bincount((rows - lo) * len(codes) + which, minlength=(hi - lo) * len(codes)).reshape(hi - lo, len(codes)) if len(codes) else np.zeros((hi - lo, 0), np.int64)
+                yield a + lo, a + hi, codes, dense, has[lo:hi]
+
+    def within(self, of: np.ndarray, code: np.ndarray, lo: int, hi: int):
+        """Row ranges whose rows x distinct codes stay within ``CELLS``: many short
+        texts of a large script have few codes in common. ``of`` is sorted."""
+        i, j = np.searchsorted(of, (lo, hi))
+        codes, which = np.unique(code[i:j], return_inverse=True)
+        if (hi - lo) * len(codes) > CELLS and hi - lo > 1:
+            mid = (lo + hi) // 2
+            yield from self.within(of, code, lo, mid)
+            yield from self.within(of, code, mid, hi)
+        else:
+            yield lo, hi, codes, which, of[i:j]
+
+    def bundled(self, dense: np.ndarray, codes: np.ndarray, dtype=np.float32) -> np.ndarray:
+        """dense @ vectors, with ``SPREAD`` vectors at a time in floats."""
+        out = np.zeros((len(dense), self.dim), dtype)
+        for c in range(0, len(codes), SPREAD):
+            out += dense[:, c:c + SPREAD].astype(dtype) @ self.vectors(codes[c:c + SPREAD]).astype(dtype)
+        return out
+
+
+def worker_memory(dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> Memory:
+    """The memory of this Python worker, kept over its tasks (functions are
+    pickled by value, so a global of this module would not last)."""
+    kept, key = sys.__dict__.setdefault("_sievekit_memories", {}), (dim, gram, seed)
+    if key not in kept:
+        kept.clear()
+        kept[key] = Memory(dim, gram, seed)
+    return kept[key]
 
 
 def train(docs: DataFrame, dim: int = DIM, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes) from the rows of (text, lang)."""
     def bundle(batches):
-        memory, total = Memory(dim, gram), {}
+        memory, total = worker_memory(dim, gram), {}
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -116,7 +149,7 @@ def train(docs: DataFrame, dim: int = DIM, gram: int = GRAM) -> tuple[list[str],
                 by = np.zeros((len(names), len(codes)))
                 np.add.at(by, which, dense)
                 # whole numbers far below 2^53: exact
-                sums = by @ memory.vectors(codes).astype(np.float64)
+                sums = memory.bundled(by, codes, np.float64)
                 for name, v in zip(names, sums):
                     total[str(name)] = total.get(str(name), 0) + v
         for name, v in total.items():
@@ -138,13 +171,13 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, gram: int
     dim = prototypes.shape[1]
 
     def classify(batches):
-        memory = Memory(dim, gram)
+        memory = worker_memory(dim, gram)
         for batch in batches:
             if not batch.num_rows:
                 continue
             pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
             for a, b, codes, dense, has in memory.counts(batch.column("text")):
-                v = dense.astype(np.float32) @ memory.vectors(codes).astype(np.float32)
+                v = memory.bundled(dense, codes)
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 cos = (v / np.where(size > 0, size, 1)) @ unit.T
                 if len(langs):
