@@ -24,8 +24,11 @@
 5. Exact Jaccard on full sets: texts are dealt by (centre, salt) and streamed
    in order, so a task holds one centre's set and one member at a time, and a
    hot centre is split. Sets hold 63-bit hashes of whole shingles.
-6. Components by contraction: nodes hook to their smallest neighbour, edges
-   are relabelled and deduplicated, until none is left.
+6. Components by contraction: nodes hook to the first of their neighbours in a
+   random order drawn anew each round, edges are relabelled and deduplicated,
+   until none is left. A path loses about half of its nodes a round, whatever
+   its ids, so rounds grow with the logarithm; the smallest id of each
+   component is taken at the end.
 
 Cases: null, empty and wordless texts have size 0 and stay alone; texts of
 fewer than five words are one shingle; rows with one doc_id are one document;
@@ -175,10 +178,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable from each node of edges (a, b)."""
     edge = checkpoint_stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "cc_edges")
-    root = None
+    root, n = None, 0
     while not edge.isEmpty():
+        n += 1
+        order = lambda c: F.struct(F.xxhash64(F.lit(n), F.col(c)).alias("h"), F.col(c).alias("id"))
         both = edge.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edge.select(F.col("b").alias("id"), F.col("a").alias("to")))
-        hook = checkpoint_stage(both.groupBy("id").agg(F.least(F.col("id"), F.min("to")).alias("up")), "cc_hooks")
+        hook = checkpoint_stage(both.groupBy("id").agg(F.min(order("to")).alias("_first")).select("id", F.least(order("id"), F.col("_first"))["id"].alias("up")), "cc_hooks")
         up_a = hook.select(F.col("id").alias("a"), F.col("up").alias("_a"))
         up_b = hook.select(F.col("id").alias("b"), F.col("up").alias("_b"))
         moved = edge.join(up_a, "a").join(up_b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
@@ -188,7 +193,10 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             step = hook.select(F.col("id").alias("root"), "up")
             root = checkpoint_stage(root.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "cc_roots")
-    return root if root is not None else edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
+    if root is None:
+        return edges.select(F.col("a").alias("id"), F.col("a").alias("root")).limit(0)
+    least = root.groupBy("root").agg(F.min("id").alias("_least"))
+    return checkpoint_stage(root.join(least, "root").select("id", F.col("_least").alias("root")), "cc_least")
 
 
 def cross_pairs(lists: DataFrame, more: Column) -> DataFrame:
@@ -255,8 +263,8 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered in a written stage, and the numbers are the ids of the search. Of
     a component the row with the least doc_id (null first) is kept, of equal
     ones that with the least text digest. Rows without words all stay."""
-    numbered = checkpoint_stage(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "near_rows")
-    found = near_dedup(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root"))
-    order = F.struct(F.col("doc_id").cast("long").alias("id"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.col("_row").alias("row"))
+    numbered = checkpoint_stage(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc")), "near_rows")
+    found = near_dedup(numbered.select(F.col("_row").alias("doc_id"), "_doc.text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_root"))
+    order = F.struct(F.col("_doc.doc_id").cast("long").alias("id"), F.sha2(F.col("_doc.text").cast("binary"), 256).alias("digest"), F.col("_row").alias("row"))
     kept = numbered.select("_row", order.alias("_order")).join(found, "_row").groupBy("_root").agg(F.min("_order").alias("_least"))
-    return numbered.join(kept.select(F.col("_least.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return numbered.join(kept.select(F.col("_least.row").alias("_row")), "_row", "left_semi").select("_doc.*")
