@@ -177,8 +177,8 @@ def moved_sums(state: DataFrame, k: int, dims: int = DIMS) -> np.ndarray:
     """The blocks' changes added up: k x (dims + 1) whole numbers."""
     parts = state.where(F.col("moved").isNotNull()).select(F.posexplode("moved").alias("p", "v")).groupBy("p").agg(F.sum("v").alias("v"))
     out = np.zeros(k * (dims + 1), object)
-    for r in parts.toLocalIterator():
-        out[r.p] = int(r.v)
+    for r in parts.toArrow().to_pylist():   # k x (dims + 1) rows in one job
+        out[r["p"]] = int(r["v"])
     return out.reshape(k, dims + 1)
 
 
