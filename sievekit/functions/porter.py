@@ -1,23 +1,21 @@
-"""Porter stemming (Porter 1980, "An algorithm for suffix stripping"),
-with the common toolkit extensions the reference's stemmer applies by
-default (short words kept, a few irregular forms, ``ies``/``ied`` on
-four-letter words, ``y -> i`` after any non-initial consonant, ``logi``,
+"""Porter stemming (Porter 1980, "An algorithm for suffix stripping") as
+column expressions, with the common toolkit extensions that the reference's
+stemmer applies by default (short words kept, a few irregular forms, ``ies`` /
+``ied`` on four-letter words, ``y -> i`` after any non-initial consonant, ``logi``,
 ``fulli``, ``lessli``, ``bli``).
 
-The stemmer is a small per-token helper; Spark runs it through one Arrow
-(pandas) UDF over token arrays, memoised per worker, so each distinct token
-is stemmed once per Python worker and no token-level shuffle is needed.
+The rules are a table compiled into ``CASE`` expressions over two columns: the
+word, and its mask of consonants and vowels (``c`` / ``v``), in which the measure
+of a stem is the number of ``vc``. They run on distinct words (``operators.prep``
+joins the stems back), so a word is stemmed once however often it occurs. The
+expressions use functions that Spark and DuckDB share; only the mask is written
+for each of them.
 """
 
 from __future__ import annotations
 
-import sys
-from functools import lru_cache
-
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
 IRREGULAR = {
@@ -38,200 +36,89 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
          "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 # ---------------------------------------------------------------------------
 
-VOWELS = frozenset("aeiou")
-
-
-def _cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in VOWELS:
-        return False
-    if c == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    """m in [C](VC)^m[V]."""
-    m, i, n = 0, 0, len(stem)
-    while i < n and _cons(stem, i):
-        i += 1
-    while i < n:
-        while i < n and not _cons(stem, i):
-            i += 1
-        if i >= n:
-            break
-        while i < n and _cons(stem, i):
-            i += 1
-        m += 1
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _cons(stem, i) for i in range(len(stem)))
-
-
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    n = len(w)
-    if n >= 3 and _cons(w, n - 3) and not _cons(w, n - 2) and _cons(w, n - 1):
-        return w[-1] not in "wxy"
-    return n == 2 and not _cons(w, 0) and _cons(w, 1)
-
-
-def _step1a(w: str) -> str:
-    if w.endswith("ies") and len(w) == 4:
-        return w[:-3] + "ie"
-    if w.endswith("sses"):
-        return w[:-2]
-    if w.endswith("ies"):
-        return w[:-2]
-    if w.endswith("ss"):
-        return w
-    if w.endswith("s"):
-        return w[:-1]
-    return w
-
-
-def _step1b(w: str) -> str:
-    if w.endswith("ied") and len(w) == 4:
-        return w[:-3] + "ie"
-    if w.endswith("eed"):
-        return w[:-1] if _measure(w[:-3]) > 0 else w
-    for suf in ("ed", "ing"):
-        if w.endswith(suf):
-            stem = w[:-len(suf)]
-            if not _has_vowel(stem):
-                return w
-            if stem.endswith(("at", "bl", "iz")):
-                return stem + "e"
-            if _double_cons(stem) and stem[-1] not in "lsz":
-                return stem[:-1]
-            if _measure(stem) == 1 and _cvc(stem):
-                return stem + "e"
-            return stem
-    return w
-
-
-def _step1c(w: str) -> str:
-    if w.endswith("y") and len(w) > 2 and _cons(w, len(w) - 2):
-        return w[:-1] + "i"
-    return w
-
-
-def _step2(w: str) -> str:
-    if w.endswith("alli") and _measure(w[:-4]) > 0:
-        return _step2(w[:-4] + "al")
-    if w.endswith("logi") and _measure(w[:-3]) > 0:
-        return w[:-1]
-    for suf, rep in STEP2:
-        if w.endswith(suf):
-            return w[:-len(suf)] + rep if _measure(w[:-len(suf)]) > 0 else w
-    return w
-
-
-def _step3(w: str) -> str:
-    for suf, rep in STEP3:
-        if w.endswith(suf):
-            return w[:-len(suf)] + rep if _measure(w[:-len(suf)]) > 0 else w
-    return w
-
-
-def _step4(w: str) -> str:
-    for suf in sorted(STEP4, key=len, reverse=True):
-        if w.endswith(suf):
-            stem = w[:-len(suf)]
-            if suf == "ion" and not stem.endswith(("s", "t")):
-                return w
-            return stem if _measure(stem) > 1 else w
-    return w
-
-
-def _step5(w: str) -> str:
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    if w.endswith("ll") and _measure(w[:-1]) > 1:
-        w = w[:-1]
-    return w
-
-
-def stem_word(word: str) -> str:
-    """Stem one lowercase token."""
-    if word in IRREGULAR:
-        return IRREGULAR[word]
-    if len(word) <= 2:
-        return word
-    w = _step1a(word)
-    w = _step1b(w)
-    w = _step1c(w)
-    w = _step2(w)
-    w = _step3(w)
-    w = _step4(w)
-    return _step5(w)
-
-
-stem = lru_cache(maxsize=1 << 18)(stem_word)
-
-
-MEMO_MAX = 1 << 20
-
-
-def _worker_memo() -> dict:
-    """One memo per Python worker process, kept across tasks (workers are
-    reused), so each distinct token is stemmed about once per worker."""
-    import builtins
-    memo = getattr(builtins, "_sievekit_stem_memo", None)
-    if memo is None or len(memo) > MEMO_MAX:
-        memo = {}
-        builtins._sievekit_stem_memo = memo
-    return memo
-
-
-def _stem_text_series(texts: pd.Series) -> pd.Series:
-    """Space-joined tokens in, space-joined stems out (a plain string column
-    crosses Arrow far cheaper than an array of strings)."""
-    memo = _worker_memo()
-
-    def one(t):
-        r = memo.get(t)
-        if r is None:
-            r = memo[t] = stem_word(t)
-        return r
-
-    def row(s):
-        if s is None:
-            return None
-        if not s:
-            return ""
-        return " ".join([one(t) for t in s.split(" ")])
-    return texts.map(row)
-
-
-_STEM_UDF = []
-
-# Ship this module's code with the UDF (by value), so executors need no
-# installed copy of the package.
-try:
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(sys.modules[__name__])
-except Exception:  # noqa: BLE001
-    pass
-
-
-def stem_joined(text) -> Column:
-    """Column form: space-joined tokens -> space-joined stems (Arrow batches)."""
-    if not _STEM_UDF:
-        _STEM_UDF.append(F.pandas_udf(_stem_text_series, T.StringType()))
-    return _STEM_UDF[0](F.col(text) if isinstance(text, str) else text)
-
-
-def stem_tokens(tokens) -> Column:
-    """ARRAY<STRING> -> stemmed ARRAY<STRING> (through the string form)."""
-    c = F.col(tokens) if isinstance(tokens, str) else tokens
-    joined = stem_joined(F.array_join(c, " "))
-    return F.when(F.size(c) == 0, c).otherwise(F.split(joined, " "))
+_KIND = "CASE WHEN {c} IN ('a', 'e', 'i', 'o', 'u') THEN 'v' WHEN {c} = 'y' AND right({a}, 1) = 'c' THEN 'v' ELSE 'c' END"
+SPARK_MASK = "aggregate(regexp_extract_all({w}, '(?s).', 0), '', (a, c) -> a || " + _KIND.format(a="a", c="c") + ")"
+DUCK_MASK = "list_reduce(list_concat([''], regexp_extract_all({w}, '(?s).', 0)), lambda a, c: a || " + _KIND.format(a="a", c="c") + ")"
+
+
+def _cut(n: int, of: str) -> str:
+    return f"left({of}, length({of}) - {n})"
+
+
+def _ends(suffix: str) -> str:
+    return f"right(w, {len(suffix)}) = '{suffix}'"
+
+
+def _vc(mask: str) -> str:
+    """Twice the measure of a stem with this mask."""
+    return f"(length({mask}) - length(replace({mask}, 'vc', '')))"
+
+
+def _short_end(word: str, mask: str) -> str:
+    """The stem ends consonant, vowel, consonant (not w, x, y), or is vowel, consonant."""
+    return f"((right({mask}, 3) = 'cvc' AND right({word}, 1) NOT IN ('w', 'x', 'y')) OR {mask} = 'vc')"
+
+
+def _case(rules: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in rules) + " ELSE w END"
+
+
+def _rewrites(table, least: int) -> list[tuple[str, str]]:
+    """The first suffix that fits decides; it is rewritten if the stem's measure is ``least`` or more."""
+    return [(_ends(s), f"CASE WHEN {_vc(_cut(len(s), 'm'))} >= {2 * least} THEN {_cut(len(s), 'w')} || '{r}' ELSE w END") for s, r in table]
+
+
+def _after_1b(n: int) -> str:
+    s, p = _cut(n, "w"), _cut(n, "m")
+    return (f"CASE WHEN {p} NOT LIKE '%v%' THEN w WHEN right({s}, 2) IN ('at', 'bl', 'iz') THEN {s} || 'e' "
+            f"WHEN length({s}) >= 2 AND right({s}, 1) = left(right({s}, 2), 1) AND right({p}, 1) = 'c' AND right({s}, 1) NOT IN ('l', 's', 'z') THEN {_cut(n + 1, 'w')} "
+            f"WHEN {_vc(p)} = 2 AND {_short_end(s, p)} THEN {s} || 'e' ELSE {s} END")
+
+
+def _step4() -> list[tuple[str, str]]:
+    rules = []
+    for s in sorted(STEP4, key=len, reverse=True):
+        more = f" AND right({_cut(3, 'w')}, 1) IN ('s', 't')" if s == "ion" else ""
+        rules.append((_ends(s), f"CASE WHEN {_vc(_cut(len(s), 'm'))} >= 4{more} THEN {_cut(len(s), 'w')} ELSE w END"))
+    return rules
+
+
+#: The steps in order: each is an expression of the word ``w`` and its mask ``m``.
+STEPS = (
+    _case([(f"{_ends('ies')} AND length(w) = 4", f"{_cut(3, 'w')} || 'ie'"), (_ends("sses"), _cut(2, "w")), (_ends("ies"), _cut(2, "w")), (_ends("ss"), "w"), (_ends("s"), _cut(1, "w"))]),
+    _case([(f"{_ends('ied')} AND length(w) = 4", f"{_cut(3, 'w')} || 'ie'"), (_ends("eed"), f"CASE WHEN {_vc(_cut(3, 'm'))} > 0 THEN {_cut(1, 'w')} ELSE w END"),
+           (_ends("ed"), _after_1b(2)), (_ends("ing"), _after_1b(3))]),
+    _case([(f"{_ends('y')} AND length(w) > 2 AND left(right(m, 2), 1) = 'c'", f"{_cut(1, 'w')} || 'i'")]),
+    _case([(f"{_ends('alli')} AND {_vc(_cut(4, 'm'))} > 0", f"{_cut(4, 'w')} || 'al'")]),
+    _case([(f"{_ends('logi')} AND {_vc(_cut(3, 'm'))} > 0", _cut(1, "w")), *_rewrites(STEP2, 1)]),
+    _case(_rewrites(STEP3, 1)),
+    _case(_step4()),
+    _case([(f"{_ends('e')} AND ({_vc(_cut(1, 'm'))} > 2 OR ({_vc(_cut(1, 'm'))} = 2 AND NOT {_short_end(_cut(1, 'w'), _cut(1, 'm'))}))", _cut(1, "w"))]),
+    _case([(f"{_ends('ll')} AND {_vc(_cut(1, 'm'))} > 2", _cut(1, "w"))]),
+)
+#: The word's own rule: irregular forms, and words of one or two letters.
+FINAL = "CASE " + " ".join(f"WHEN tok = '{k}' THEN '{v}'" for k, v in IRREGULAR.items()) + " WHEN length(tok) <= 2 THEN tok ELSE w END"
+
+
+def _let(name: str, value: str, then: str) -> str:
+    """``then`` with ``name`` bound to the value, computed once (columns built on
+    each other would be written out in each other by the optimizer)."""
+    return f"get(transform(array({value}), {name} -> {then}), 0)"
+
+
+def stem_words(words: DataFrame, col: str = "tok", out: str = "stem") -> DataFrame:
+    """``words`` (one row per distinct lower-case word) with its stem."""
+    value = "tok"
+    for step in STEPS:
+        value = _let("w", value, _let("m", SPARK_MASK.format(w="w"), step))
+    return words.withColumn(out, F.expr(_let("tok", f"`{col}`", _let("w", value, FINAL))))
+
+
+def stem_ctes(source: str, name: str = "stems") -> str:
+    """DuckDB CTEs: ``name`` (tok, stem) of the distinct words of ``source`` (tok)."""
+    out, last = [], f"(SELECT tok, tok AS w FROM {source})"
+    for i, step in enumerate(STEPS):
+        out.append(f"{name}_{i} AS MATERIALIZED (SELECT tok, {step} AS w FROM (SELECT tok, w, {DUCK_MASK.format(w='w')} AS m FROM {last}))")
+        last = f"{name}_{i}"
+    out.append(f"{name} AS (SELECT tok, {FINAL} AS stem FROM {last})")
+    return ",\n".join(out)

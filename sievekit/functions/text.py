@@ -198,14 +198,15 @@ def lemmatize_tokens(tokens, lemma_map: Column | None) -> Column:
 
 # -- T16-T19: compositions ------------------------------------------------------------
 
-def clean_text_notebook(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS,
-                        stem: bool = True) -> Column:
-    """Lower -> tokenize -> alnum -> stopwords -> Porter stem -> join."""
-    toks = drop_stopwords(keep_alnum_tokens(tokenize_words(lower_text(x))), stopwords)
-    if stem:
-        from .porter import stem_joined
-        return stem_joined(join_tokens(toks))
-    return join_tokens(toks)
+def notebook_tokens(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS) -> Column:
+    """T16 before its stemming step: the words that are stemmed over the vocabulary."""
+    return drop_stopwords(keep_alnum_tokens(tokenize_words(lower_text(x))), stopwords)
+
+
+def clean_text_notebook(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS) -> Column:
+    """T16 without stemming: lower -> tokenize -> alnum -> stopwords -> join
+    (``operators.prep.stem_join`` is the stemming step)."""
+    return join_tokens(notebook_tokens(x, stopwords))
 
 
 def package_tokens(x, stopwords: Sequence[str] = ENGLISH_STOPWORDS) -> Column:

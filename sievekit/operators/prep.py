@@ -209,3 +209,20 @@ def lemmatize_join(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: st
                .select(id_col, F.transform("_a", lambda s: s["_t"]).alias(tokens_col)))
     return df.drop(tokens_col).join(rebuilt, id_col, "left").withColumn(
         tokens_col, F.coalesce(F.col(tokens_col), F.array().cast("array<string>")))
+
+
+# -- T14 relational form ---------------------------------------------------------------------
+
+def stem_table(df: DataFrame, tokens_col: str) -> DataFrame:
+    """(form, lemma, rows): the distinct tokens that stemming changes, with
+    their stem and how often they occur. The vocabulary is a partial aggregate;
+    each word is stemmed once, by column expressions."""
+    from ..functions.porter import stem_words
+    vocab = df.select(F.explode(tokens_col).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("rows"))
+    return stem_words(vocab, "form", "lemma").where(F.col("form") != F.col("lemma")).select("form", "lemma", "rows")
+
+
+def stem_join(df: DataFrame, tokens_col: str, id_col: str = "message_id") -> DataFrame:
+    """Every token replaced by its stem, order kept; hot words are salted
+    by their counts. ``df`` is read three times: give it as a written stage."""
+    return lemmatize_join(df, tokens_col, stem_table(df, tokens_col), id_col)

@@ -21,11 +21,23 @@ from ..sources.stage import checkpoint_stage
 CLEANERS = {
     "browser": lambda c: T.clean_text_browser(c),
     "package": lambda c: T.clean_text_package(c),
-    "notebook": lambda c: T.clean_text_notebook(c, stem=True),
-    "notebook_nostem": lambda c: T.clean_text_notebook(c, stem=False),
+    "notebook_nostem": lambda c: T.clean_text_notebook(c),
 }
 
 
+def cleaned(rows: DataFrame, cleaner: str, key: str | None = "message_id", buckets: int | None = None) -> DataFrame:
+    """``rows`` with ``original_text`` replaced by its ``clean_text`` (empty for
+    null). The notebook cleaner stems over the vocabulary of the rows, so its
+    tokens are written first; ``buckets``: ``rows`` already lie in that many
+    partitions by ``key``."""
+    if cleaner != "notebook":
+        out = rows.withColumn("clean_text", CLEANERS[cleaner]("original_text")).drop("original_text")
+        return P.fill_null_text(out, "clean_text")               # P8 before vectorising
+    tokens = rows.withColumn("tokens", T.notebook_tokens(F.coalesce("original_text", F.lit("")))).drop("original_text")
+    tokens = checkpoint_stage(tokens, "notebook_tokens", key=key if buckets else None, buckets=buckets, prepartitioned=True)
+    return P.stem_join(tokens, "tokens").withColumn("clean_text", T.join_tokens("tokens")).drop("tokens")
+
+
 def message_partitions(spark: SparkSession, sf_dir: str) -> int:
     """Bucket count of the message stages, from the size of the inputs."""
     from ..session import partitions_for
@@ -99,12 +111,11 @@ def prepared(spark: SparkSession, sf_dir: str, seed: int = 42, cleaner: str = "b
     re-running the dedup), and the per-message steps run without exchanges."""
     n = message_partitions(spark, sf_dir)
     m = labelled_messages(spark, sf_dir, num_partitions=n)
-    m = m.select("message_id", "label_num", "message_length", "num_uppercase", "num_digits",
-                 CLEANERS[cleaner]("original_text").alias("clean_text"))
-    m = P.fill_null_text(m, "clean_text")           # P8 before vectorising
+    m = cleaned(m.select("message_id", "label_num", "message_length", "num_uppercase", "num_digits", "original_text"),
+                cleaner, buckets=n)
     if materialize:
-        # rows are already hash-partitioned by message_id (label join)
-        m = checkpoint_stage(m, "messages", key="message_id", buckets=n, prepartitioned=True)
+        # rows are already hash-partitioned by message_id (label join), but for stems' salted joins
+        m = checkpoint_stage(m, "messages", key="message_id", buckets=n, prepartitioned=cleaner != "notebook")
     else:
         m = partition_messages(m, n)
     # both split modes keep the partitioning: a column, or a broadcast join

@@ -97,6 +97,20 @@ def clean_notebook_nostem_sql(x: str) -> str:
     return join_tokens_sql(drop_stopwords_sql(keep_alnum_sql(toks)))
 
 
+def notebook_stem_ctes(source: str, name: str = "stemmed") -> str:
+    """CTEs: ``name`` (message_id, clean_text) of the rows of ``source`` that have
+    tokens: T16 with every token stemmed."""
+    from ..functions.porter import stem_ctes
+    toks = drop_stopwords_sql(keep_alnum_sql(T.tokenize_words_sql("lower(original_text)")))
+    return f"""
+{name}_toks AS MATERIALIZED (SELECT message_id, unnest(arr_) AS tok, generate_subscripts(arr_, 1) AS pos
+  FROM (SELECT message_id, {toks} AS arr_ FROM {source} WHERE original_text IS NOT NULL)),
+{name}_vocab AS (SELECT DISTINCT tok FROM {name}_toks),
+{stem_ctes(f"{name}_vocab", f"{name}_w")},
+{name} AS (SELECT message_id, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(stem, ' ' ORDER BY pos) AS clean_text
+  FROM {name}_toks JOIN {name}_w USING (tok) GROUP BY message_id)"""
+
+
 CLEANERS_SQL = {"browser": clean_browser_sql, "package": clean_package_sql,
                 "notebook_nostem": clean_notebook_nostem_sql}
 
@@ -122,12 +136,16 @@ labelled AS (
 
 def prepared_ctes(seed: int = 42, cleaner: str = "browser", split: str = "threshold",
                   test_size: float = 0.2) -> str:
-    base = labelled_ctes() + f""",
+    base = labelled_ctes()
+    if cleaner == "notebook":
+        base += "," + notebook_stem_ctes("labelled")
+    clean = "coalesce(stemmed.clean_text, '')" if cleaner == "notebook" else CLEANERS_SQL[cleaner]("original_text")
+    base += f""",
 keyed AS (
   SELECT message_id, label_num, message_length, num_uppercase, num_digits,
-         {CLEANERS_SQL[cleaner]('original_text')} AS clean_text,
+         {clean} AS clean_text,
          {split_key_sql(seed)} AS key_
-  FROM labelled)"""
+  FROM labelled{" LEFT JOIN stemmed USING (message_id)" if cleaner == "notebook" else ""})"""
     if split == "threshold":
         return base + f""",
 prepared AS (SELECT * EXCLUDE (key_), key_ < {test_key_limit(test_size)} AS is_test FROM keyed)"""

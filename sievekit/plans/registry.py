@@ -81,7 +81,7 @@ def nb_grid(spark, sf_dir):
 
 @register("nb_confusion_notebook", O.flagship_sql(42, cleaner="notebook_nostem"))
 def nb_confusion_notebook(spark, sf_dir):
-    """Notebook variant, stemming off (T16 without T14, which has no SQL form)."""
+    """Notebook variant, stemming off (T16 without T14)."""
     return PL.flagship(spark, sf_dir, 42, cleaner="notebook_nostem")
 
 
@@ -374,7 +374,29 @@ def lemmatize_tokens(spark, sf_dir):
 SELECT message_id, {O.clean_notebook_nostem_sql('original_text')} AS clean_text FROM msg"""))
 def clean_text_notebook(spark, sf_dir):
     return S.msg(spark, sf_dir).select(
-        "message_id", T.clean_text_notebook("original_text", stem=False).alias("clean_text"))
+        "message_id", T.clean_text_notebook("original_text").alias("clean_text"))
+
+
+@register("stem_tokens", with_(O.MSG_CTES + "," + O.notebook_stem_ctes("msg"), """
+SELECT message_id, n_tokens, clean_text AS tokens FROM stemmed"""))
+def stem_tokens(spark, sf_dir):
+    """T14 over the vocabulary of the notebook's tokens."""
+    m = S.msg(spark, sf_dir).where(F.col("original_text").isNotNull())
+    toks = checkpoint_stage(m.select("message_id", T.notebook_tokens("original_text").alias("tokens")), "notebook_tokens")
+    return P.stem_join(toks, "tokens").where(F.size("tokens") > 0).select("message_id", *_tok(F.col("tokens")))
+
+
+@register("clean_text_notebook_stemmed", with_(O.MSG_CTES + "," + O.notebook_stem_ctes("msg"), """
+SELECT message_id, coalesce(clean_text, '') AS clean_text FROM msg LEFT JOIN stemmed USING (message_id)"""))
+def clean_text_notebook_stemmed(spark, sf_dir):
+    """T16 as a whole, stems included; a null text is empty."""
+    return PL.cleaned(S.msg(spark, sf_dir).select("message_id", "original_text"), "notebook")
+
+
+@register("nb_confusion_notebook_stemmed", O.flagship_sql(42, max_features=None, cleaner="notebook"))
+def nb_confusion_notebook_stemmed(spark, sf_dir):
+    """Notebook variant as a whole: T16 with stems, unlimited vocabulary."""
+    return PL.flagship(spark, sf_dir, 42, max_features=None, cleaner="notebook")
 
 
 @register("clean_text_package", with_(O.MSG_CTES, f"""
@@ -1219,10 +1241,3 @@ def release_job(spark, sf_dir):
     done = RL.train_and_publish(spark, sf_dir, shared_path(spark, "registry"))
     return done.results.select("model_name", "accuracy", "precision", "recall", "f1_score", "auc", "f1_rank",
                                F.when(F.col("f1_rank") == 1, F.lit(done.version)).alias("version"))
-
-
-@register("clean_text_notebook_stemmed")
-def clean_text_notebook_stemmed(spark, sf_dir):
-    """T16 with T14 (Porter stemming through an Arrow UDF): no SQL stemmer."""
-    return S.msg(spark, sf_dir).select(
-        "message_id", T.clean_text_notebook("original_text", stem=True).alias("clean_text"))

@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from sievekit.functions import text as T
-from sievekit.functions.porter import stem
+from sievekit.functions.porter import stem_words
+from sievekit.plans.messages import cleaned
+from tests.conftest import SF_SMALL
+from tests.porter_plain import stem_word
 from sievekit.operators import prep as P
 from sievekit.sources import files as FI
 
@@ -62,18 +65,35 @@ def test_tokenizer_and_notebook_cleaner(spark):
     toks = one(spark, "hello, world! don't stop. e-mail me: now", T.tokenize_words)
     assert toks == ["hello", ",", "world", "!", "do", "n't", "stop", ".", "e-mail", "me", ":", "now"]
     assert one(spark, "Cannot STOP gonna win 3.5 prizes.",
-               lambda c: T.clean_text_notebook(c, stem=False)) == "stop gon na win prizes"
-    assert one(spark, "Winning prizes, running fast!",
-               lambda c: T.clean_text_notebook(c, stem=True)) == "win prize run fast"
+               T.clean_text_notebook) == "stop gon na win prizes"
+    df = spark.createDataFrame([(1, "Winning prizes, running fast!"), (2, None), (3, "the"), (4, "Running running")], "message_id long, original_text string")
+    got = {r.message_id: r.clean_text for r in cleaned(df, "notebook").collect()}
+    assert got == {1: "win prize run fast", 2: "", 3: "", 4: "run run"}
 
 
-def test_porter_paper_examples():
+def _stems(spark, words):
+    return {r.tok: r.stem for r in stem_words(spark.createDataFrame([(w,) for w in sorted(set(words))], "tok string")).collect()}
+
+
+def test_porter_paper_examples(spark):
     pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre",
              "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file",
              "relational": "relat", "generalizations": "gener", "electrical": "electr",
              "adoption": "adopt", "controll": "control", "happy": "happi", "sky": "sky"}
-    for w, s in pairs.items():
-        assert stem(w) == s, w
+    assert _stems(spark, pairs) == pairs
+
+
+def test_stems_equal_the_plain_stemmer(spark):
+    """Every rule's suffix on many beginnings, random words, and the corpus."""
+    import random
+    from tests.porter_plain import STEP2, STEP3, STEP4, IRREGULAR
+    random.seed(11)
+    ends = [s for s, _ in STEP2 + STEP3] + list(STEP4) + ["s", "sses", "ies", "ied", "eed", "ed", "ing", "y", "e", "ll", "logi", "alli", "ationalli", "yy", "ys"]
+    words = {b + e for e in ends for b in ("", "a", "b", "tr", "y", "by", "yy", "hop", "hopp", "fall", "fizz", "rat", "tabl", "siz", "s", "roy", "ax", "generat", "über", "é", "1", "b2")}
+    words |= {"".join(random.choice("aeiouybcdlstz") for _ in range(random.randint(1, 9))) + random.choice(ends) for _ in range(3000)} | set(IRREGULAR)
+    words |= {w for r in spark.read.parquet(SF_SMALL + "/documents.parquet").select("text").collect() for w in (r.text or "").lower().split() if w.isalnum()}
+    words.discard("")
+    assert _stems(spark, words) == {w: stem_word(w) for w in words}
 
 
 def test_vectorizer_tokens(spark):
