@@ -24,11 +24,12 @@
 5. Exact Jaccard on full sets: texts are dealt by (centre, salt) and streamed
    in order, so a task holds one centre's set and one member at a time, and a
    hot centre is split. Sets hold 63-bit hashes of whole shingles.
-6. Components by contraction: nodes hook to the first of their neighbours in a
-   random order drawn anew each round, edges are relabelled and deduplicated,
-   until none is left. A path loses about half of its nodes a round, whatever
-   its ids, so rounds grow with the logarithm; the smallest id of each
-   component is taken at the end.
+6. Components by contraction: nodes hook to the first of their neighbours, edges
+   are relabelled and deduplicated, until none is left. First is the smallest id
+   in odd rounds, which ends a star at once, and a random order drawn anew in
+   even ones, in which a path loses about half of its nodes whatever its ids, so
+   rounds grow with the logarithm. The smallest id of each component is taken at
+   the end.
 
 Cases: null, empty and wordless texts have size 0 and stay alone; texts of
 fewer than five words are one shingle; rows with one doc_id are one document;
@@ -181,7 +182,8 @@ def components(edges: DataFrame) -> DataFrame:
     root, n = None, 0
     while not edge.isEmpty():
         n += 1
-        order = lambda c: F.struct(F.xxhash64(F.lit(n), F.col(c)).alias("h"), F.col(c).alias("id"))
+        first = (lambda c: F.lit(0)) if n % 2 else (lambda c, n=n: F.xxhash64(F.lit(n), F.col(c)))
+        order = lambda c, first=first: F.struct(first(c).alias("h"), F.col(c).alias("id"))
         both = edge.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edge.select(F.col("b").alias("id"), F.col("a").alias("to")))
         hook = checkpoint_stage(both.groupBy("id").agg(F.min(order("to")).alias("_first")).select("id", F.least(order("id"), F.col("_first"))["id"].alias("up")), "cc_hooks")
         up_a = hook.select(F.col("id").alias("a"), F.col("up").alias("_a"))
