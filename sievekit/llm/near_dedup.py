@@ -203,11 +203,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cross_pairs(lists: DataFrame, more: Column) -> DataFrame:
     """Pairs (a, b) of each list (v, id, n, label, ...) whose labels differ and
-    whose sizes fit; ``more``: a further condition on the sides x and y."""
-    x, y = lists.alias("x"), lists.alias("y")
-    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+    whose sizes fit; ``more``: a further condition on the sides x and y.
+
+    Members meet the other labels of their list first and those labels' members
+    then, so a list costs no more tests than it has pairs of different labels."""
+    groups = lists.select(F.col("v").alias("_v"), F.col("label").alias("_other")).distinct()
+    x = lists.join(groups, (F.col("v") == F.col("_v")) & (F.col("label") < F.col("_other"))).alias("x")
+    y = lists.alias("y")
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x._other") == F.col("y.label")) & (F.col("x.id") != F.col("y.id"))
                    & sizes_fit(F.col("x.n"), F.col("y.n")) & more)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
 def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
