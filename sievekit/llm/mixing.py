@@ -14,7 +14,8 @@ each), so no window holds more than a shard. What the driver gets is one row
 per source; the shards' quotas are computed in one group per source, one row
 per ``SHARD_WORDS`` words (1e13 words: 2.4 million rows).
 
-Cases: a null text has size 0 and takes 0 words; a null source is a source of
+Cases: a null text has size 0 and takes 0 words, as has any text without
+words (such rows are in no shard); a null source is a source of
 its own; the order within a shard is a seeded hash of (doc_id, text), so rows
 that are equal in both are interchangeable and reruns agree; an empty table
 gives an empty result; other columns do not take part.
@@ -128,15 +129,18 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, limit: int = 3, block: int = B
     quotas = shards.groupBy("source_key").applyInPandas(
         _shard_quotas(block, limit), "source_key string, shard long, shard_size long, quota long")
     w = Window.partitionBy("source_key", "shard").orderBy("_order", "doc_id", "row_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (keyed.withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    # rows without words take nothing and have no place in a shard's order
+    placed = (keyed.where("size > 0").withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0)))
               .join(quotas, ["source_key", "shard"]))
     full = F.expr("IF(shard_size > 0, quota DIV shard_size, 0)")
     rest = F.expr("IF(shard_size > 0, quota % shard_size, 0)")
     zero = F.lit(0).cast("long")
-    return (placed.withColumn("full", full)
-            .withColumn("rest", F.greatest(zero, F.least(F.col("size"), rest - F.col("_before"))))
-            .withColumn("taken", F.col("full") * F.col("size") + F.col("rest"))
-            .select("doc_id", "row_key", "source", "size", "source_size", "target", "taken", "full", "rest"))
+    out = ["doc_id", "row_key", "source", "size", "source_size", "target", "taken", "full", "rest"]
+    worded = (placed.withColumn("full", full)
+              .withColumn("rest", F.greatest(zero, F.least(F.col("size"), rest - F.col("_before"))))
+              .withColumn("taken", F.col("full") * F.col("size") + F.col("rest")).select(*out))
+    empty = keyed.where("size = 0").withColumns({"taken": zero, "full": zero, "rest": zero}).select(*out)
+    return worded.unionByName(empty)
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
