@@ -72,51 +72,52 @@ def metrics(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int = 6) -> Dat
                     F.round(f1(), digits).alias("f1_score"))
 
 
-SCORES_PER_BUCKET = 1_000_000
-
-
-def roc_auc(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = 6,
-            buckets: int | None = None) -> DataFrame:
-    """E7 exact ROC AUC (ties count half), null when a class is missing.
+def order_key(score: Column) -> Column:
+    """A double's place in the order of all doubles as a long: equal values
+    (0.0 and -0.0 too) have equal keys, NaN is last, null stays null.
+
+    It is the number's exponent and fraction side by side, taken by exact
+    arithmetic with powers of two; ``log2`` may miss a power by one, which the
+    two cases beside it mend."""
+    x = F.abs(score)
+    guess = F.floor(F.log2(x))
+    part = x / F.pow(F.lit(2.0), guess)
+    exponent = F.when(part >= 2, guess + 1).when(part < 1, guess - 1).otherwise(guess)
+    fraction = (x / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
+    size = (F.when(F.isnan(score), F.lit((2047 << 52) + 1))
+            .when(x == float("inf"), F.lit(2047 << 52))
+            .when(x < 2.0 ** -1022, (x / 2.0 ** -1074).cast("long"))
+            .otherwise((exponent + 1023) * (1 << 52) + fraction.cast("long")))
+    return F.when(score.isNotNull(), F.when(score < 0, -size).otherwise(size))
+
+
+def roc_auc(pred: DataFrame, keys: Sequence[str] = KEYS, digits: int | None = 6) -> DataFrame:
+    """E7 exact ROC AUC (ties count half), null when a class is missing. A null
+    score counts as below all others, NaN as above.
 
     AUC = sum over positives of (#neg with lower score + 0.5 #neg tied) / (P*N).
-    The prefix count of negatives is a distributed scan: scores are first
-    aggregated to distinct values (a hot score is one row), cut into
-    ``buckets`` quantile ranges per group, bucket totals give each bucket's
-    offset (a small table), and the running count inside a bucket is a
-    window over ~1/buckets of the distinct scores, never a whole group.
-    ``buckets=None`` sizes it from the data: one bucket per million distinct
-    scores of the largest group (the distinct-score table is persisted, as
-    it feeds the count, the cut points and the scan)."""
+    Scores are aggregated to distinct values first (a hot score is one row).
+    Their 64-bit order keys are then folded by 16 bits at a time: a window over
+    one prefix counts the negatives below each row *within the prefix*, and the
+    aggregate of the prefix carries its classes and pairs won on to the next
+    fold. A window so holds 65,536 rows (and one for null) at most, whatever the
+    scores, the aggregate after it reuses its partitions, and nothing is
+    joined, cached or run while the plan is built."""
     keys = list(keys)
-    d = pred.groupBy(*keys, "score").agg(
-        F.count(F.when(F.col("actual") == 1, 1)).alias("pos"),
-        F.count(F.when(F.col("actual") == 0, 1)).alias("neg"))
-    if buckets is None:
-        d = d.persist()
-        largest = d.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        buckets = max(1, -(-largest // SCORES_PER_BUCKET))
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = d.groupBy(*keys).agg(F.percentile_approx("score", probs, 10000).alias("_q"))
-        d = d.join(F.broadcast(cuts), keys).withColumn(
-            "_b", F.size(F.filter("_q", lambda q: q < F.col("score")))).drop("_q")
-    else:
-        d = d.withColumn("_b", F.lit(0))
-    btot = d.groupBy(*keys, "_b").agg(F.sum("neg").alias("_bneg"))
-    boff = btot.withColumn("_off", F.coalesce(F.sum("_bneg").over(
-        Window.partitionBy(*keys).orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_bneg")
-    inner = F.coalesce(F.sum("neg").over(
-        Window.partitionBy(*keys, "_b").orderBy("score")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    d = d.join(F.broadcast(boff), keys + ["_b"]).withColumn("_below", F.col("_off") + inner)
-    auc = F.try_divide(F.sum(F.col("pos") * (F.col("_below") + 0.5 * F.col("neg"))),
-                       (F.sum("pos") * F.sum("neg")).cast("double"))
-    out = d.groupBy(*keys).agg(auc.alias("auc"))
-    if digits is not None:
-        out = out.withColumn("auc", F.round("auc", digits))
-    return out
+    d = (pred.groupBy(*keys, "score").agg(
+            F.count(F.when(F.col("actual") == 1, 1)).alias("pos"),
+            F.count(F.when(F.col("actual") == 0, 1)).alias("neg"))
+         .select(*keys, order_key(F.col("score").cast("double")).alias("_key"), "pos", "neg",
+                 (F.col("pos") * 0.5 * F.col("neg")).alias("_won")))
+    for up in [F.shiftright("_key", 16)] * 3 + [F.lit(0).cast("long")]:
+        w = (Window.partitionBy(*keys, "_up").orderBy("_key")
+             .rowsBetween(Window.unboundedPreceding, -1))
+        below = F.coalesce(F.sum("neg").over(w), F.lit(0))
+        d = (d.withColumn("_up", up).withColumn("_won", F.col("_won") + F.col("pos").cast("double") * below)
+             .groupBy(*keys, "_up").agg(*(F.sum(c).alias(c) for c in ("pos", "neg", "_won")))
+             .withColumnRenamed("_up", "_key"))
+    auc = F.try_divide("_won", F.col("pos").cast("double") * F.col("neg"))
+    return d.select(*keys, (F.round(auc, digits) if digits is not None else auc).alias("auc"))
 
 
 def classification_report(pred: DataFrame, keys: Sequence[str] = ("run_id", "model_name"),

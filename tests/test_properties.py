@@ -1,5 +1,9 @@
 """Properties of the distributed operators and plan-shape checks."""
 
+import math
+import random
+import struct
+
 from pyspark.sql import functions as F
 
 from sievekit.operators import evaluate as E
@@ -61,11 +65,39 @@ def test_auc_invariant_under_monotone_change(spark):
     assert a1 == a2
 
 
-def test_auc_buckets_agree_with_single_bucket(spark):
-    p = ST.pred_rule(spark, SF_MID)
-    a1 = {(r.run_id, r.model_name): r.auc for r in E.roc_auc(p, buckets=1).collect()}
-    a2 = {(r.run_id, r.model_name): r.auc for r in E.roc_auc(p, buckets=64).collect()}
-    assert a1 == a2
+def hard_scores():
+    tiny, least = 5e-324, 2.0 ** -1022
+    out = [0.0, -0.0, tiny, 3 * tiny, least, math.nextafter(least, 0), math.nextafter(least, 1), 1.7976931348623157e308, float("inf"), 0.1, 1e-300, 2.5]
+    for e in (-1000, -500, -52, -3, -1, 0, 1, 3, 52, 53, 500, 1023):
+        out += [2.0 ** e, math.nextafter(2.0 ** e, 0), math.nextafter(2.0 ** e, math.inf)]
+    return out + [-x for x in out]
+
+
+def test_order_key_orders_as_doubles_do(spark):
+    scores = [*hard_scores(), float("nan"), None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(scores)], "i int, score double").repartition(3)
+    got = {r.i: r.k for r in df.select("i", E.order_key(F.col("score")).alias("k")).collect()}
+    finite = range(len(scores) - 2)
+    bits = lambda x: struct.unpack("<q", struct.pack("<d", abs(x)))[0]
+    assert [got[i] for i in finite] == [-bits(scores[i]) if scores[i] < 0 else bits(scores[i]) for i in finite]
+    assert got[len(scores) - 2] > max(got[i] for i in finite) and got[len(scores) - 1] is None
+
+
+def test_auc_by_folds_equals_all_pairs(spark):
+    rng = random.Random(5)
+    pool = [*hard_scores(), float("nan"), None, *(rng.random() * 10.0 ** rng.randint(-20, 20) for _ in range(60))]
+    rows = [(f"r{i % 3}", "m", 0, i, rng.randint(0, 1), rng.choice(pool)) for i in range(900)]
+    df = spark.createDataFrame(rows, "run_id string, model_name string, model_ord int, message_id long, actual int, score double")
+    spark.sparkContext.setJobGroup("auc_build", "building the plan")
+    plan = E.roc_auc(df.repartition(7), digits=None)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("auc_build")
+    got = {r.run_id: r.auc for r in plan.collect()}
+    place = lambda x: (0, 0.0) if x is None else (2, 0.0) if math.isnan(x) else (1, x)
+    for run in ("r0", "r1", "r2"):
+        pos = [place(r[5]) for r in rows if r[0] == run and r[4]]
+        neg = [place(r[5]) for r in rows if r[0] == run and not r[4]]
+        won = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+        assert got[run] == won / (len(pos) * len(neg))
 
 
 def test_two_flips_restore_label(spark):
