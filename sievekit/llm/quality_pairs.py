@@ -135,12 +135,15 @@ def _features_of(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> BradleyTerry:
-    """Fits on labelled rows (columns doc_id, label) of ``docs``."""
+    """Fits on labelled rows (columns doc_id, label) of ``docs``: at most
+    ``max_labelled`` labels, and as many rows where documents share an id."""
     marked = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     sample = marked.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id", "label").limit(max_labelled)
     # at most max_labelled rows of two numbers: broadcast by that bound
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    got = rows.mapInArrow(_features_of, "label int, x binary").toPandas()
+    # an id may stand for any number of documents, so the rows are bounded once more, in an order of their own
+    measured = rows.mapInArrow(_features_of, "label int, x binary")
+    got = measured.orderBy(F.xxhash64(F.lit(11), "x"), "x", "label").limit(max_labelled).toPandas()
     got = got.sort_values(["label", "x"])  # the same fit whatever order the rows come in
     x = np.frombuffer(b"".join(got["x"]), np.float64).reshape(-1, len(FEATURES))
     return fit(x, got["label"].to_numpy())

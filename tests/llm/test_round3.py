@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
-from sievekit.llm import language_id, license_scan, near_dedup
+from sievekit.llm import language_id, license_scan, mixing, near_dedup, quality_pairs
 from tests.llm.fixtures import table
 
 
@@ -84,3 +84,21 @@ def test_profiles_against_a_plain_one(spark):
         best = max(cos, key=cos.get)
         letters = any(c.isalpha() for c in texts[r.doc_id][0] or "")
         assert r.lang_pred == (best if letters else "und") and abs(r.score - (max(cos[best], 0) if letters else 0)) < 1e-5
+
+
+def test_a_source_without_words_is_in_no_shard(spark):
+    data = [(i, t, "en", src, 1) + ("c",) * 11 for i, (t, src) in enumerate([(None, "a"), ("", "a"), ("  ", "a"), ("one two three", "b"), ("", "b"), (None, None)])]
+    got = mixing.mix_sources(table(spark, data)).collect()
+    assert Counter((r.doc_id, r.size, r.source_size) for r in got) == Counter([(0, 0, 0), (1, 0, 0), (2, 0, 0), (3, 3, 3), (4, 0, 3), (5, 0, 0)])
+    assert all((r.taken, r.full, r.rest) == (0, 0, 0) for r in got if not r.size)
+
+
+def test_labels_of_a_shared_id_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"some words of text number {i} " * (i + 1)) for i in range(200)] + [(2, "x x x !!!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int")
+    seen = []
+    monkeypatch.setattr(quality_pairs, "fit", lambda x, label: seen.append(x))
+    for part in (docs.repartition(5), docs.repartition(2)):
+        quality_pairs.train(part, labels, max_labelled=20)
+    quality_pairs.train(docs, labels, max_labelled=500)
+    assert [len(x) for x in seen] == [20, 20, 201] and (seen[0] == seen[1]).all()
