@@ -14,7 +14,8 @@
    and do not emit a list's square. First every member is compared with its
    list's centre, the member whose values are the most common ones, and so the
    likeliest to be near all others. Then only members of different components
-   are paired, and only with sizes that allow the similarity: directly in lists
+   are paired, and only with sizes that allow the similarity; of the component
+   with most members of a list, members meet the others only. Directly in lists
    of at most ``SMALL`` members; documents of longer lists are listed anew by
    the rarest shingles of their full sets, where two sets of the similarity
    must meet before a seventh of either is passed. That is exact as well, and
@@ -201,13 +202,24 @@ def components(edges: DataFrame) -> DataFrame:
     return checkpoint_stage(root.join(least, "root").select("id", F.col("_least").alias("root")), "cc_least")
 
 
-def cross_pairs(lists: DataFrame, more: Column) -> DataFrame:
-    """Pairs (a, b) of each list (v, id, n, label, ...) whose labels differ and
-    whose sizes fit; ``more``: a further condition on the sides x and y."""
-    x, y = lists.alias("x"), lists.alias("y")
-    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label"))
+def mixed_lists(lists: DataFrame) -> DataFrame:
+    """(v, main, size): the lists (v, id, label, ...) of two labels or more;
+    main: the label of most members."""
+    labels = lists.groupBy("v", "label").agg(F.count(F.lit(1)).alias("_k"))
+    return (labels.groupBy("v").agg(F.max_by("label", F.struct("_k", "label")).alias("main"), F.sum("_k").alias("size"), F.count(F.lit(1)).alias("_labels"))
+            .where("_labels > 1").drop("_labels"))
+
+
+def cross_pairs(lists: DataFrame, mixed: DataFrame, more: Column) -> DataFrame:
+    """Pairs (a, b) in the ``mixed`` of the lists (v, id, n, label, ...) whose
+    labels differ and whose sizes fit; ``more``: a further condition on the
+    sides x and y. Members of a list's main label meet the others only, so a
+    list costs its size times the members outside that label."""
+    x, y = lists.join(mixed.select("v", "main"), "v").where("label != main").alias("x"), lists.alias("y")
+    once = (F.col("y.label") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
+    return (x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & once
                    & sizes_fit(F.col("x.n"), F.col("y.n")) & more)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
 def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -224,14 +236,14 @@ def links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     label = components(first.select("a", "b")).withColumnRenamed("root", "label")
     # round 2: members of different components
     marked = checkpoint_stage(lists.join(label, "id", "left").select("v", "id", "n", F.coalesce("label", "id").alias("label")), "near_marked")
-    mixed = marked.groupBy("v").agg(F.min("label").alias("_l"), F.max("label").alias("_m"), F.count(F.lit(1)).alias("_n")).where("_l != _m")
-    small = marked.join(mixed.where(F.col("_n") <= SMALL).select("v"), "v", "left_semi")
-    hot = checkpoint_stage(marked.join(mixed.where(F.col("_n") > SMALL).select("v"), "v", "left_semi").select("id", "label").distinct(), "near_hot")
+    mixed = checkpoint_stage(mixed_lists(marked), "near_mixed")
+    hot = checkpoint_stage(marked.join(mixed.where(F.col("size") > SMALL).select("v"), "v", "left_semi").select("id", "label").distinct(), "near_hot")
     long_ = checkpoint_stage(exact_lists(texts.join(hot, "id", "left_semi")).join(hot, "id"), "near_exact_lists")
     # what two sets must share, and can still share from the place of their first common shingle on
     need = (F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT)
     still = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
-    cross = cross_pairs(small, F.lit(True)).unionByName(cross_pairs(long_, still)).distinct()
+    cross = (cross_pairs(marked, mixed.where(F.col("size") <= SMALL), F.lit(True))
+             .unionByName(cross_pairs(long_, mixed_lists(long_), still)).distinct())
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return first.unionByName(verified(estimated(cross.join(done, ["a", "b"], "left_anti"), reps), texts))
 
