@@ -53,6 +53,20 @@ def brute_components(data):
     return Counter((i, len(s), back(find(low(i))), find(low(i)) == low(i)) for i, s in sets)
 
 
+def test_members_of_the_main_label_meet_the_others_only(spark):
+    """Pairs of hard lists: one label, a main label and a few, all different, tied."""
+    rng = np.random.default_rng(4)
+    data = [(v, 100 * v + i, 100 + int(rng.integers(0, 40)), int(label))
+            for v, labels in enumerate([[1] * 30, [1] * 30 + [2], [1] * 20 + [2] * 3 + [3, 4], range(12), [1, 1, 2, 2], [5]]) for i, label in enumerate(labels)]
+    lists = spark.createDataFrame(data, "v long, id long, n long, label long")
+    fit = lambda x, y: 100 * min(x, y) >= 75 * max(x, y)
+    want = {(x[1], y[1]) for x in data for y in data if x[0] == y[0] and x[1] < y[1] and x[3] != y[3] and fit(x[2], y[2])}
+    mixed = near_dedup.mixed_lists(lists)
+    assert sorted((r.v, r.size) for r in mixed.collect()) == [(1, 31), (2, 25), (3, 12), (4, 4)]
+    got = [tuple(r) for r in near_dedup.cross_pairs(lists, mixed, F.lit(True)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("small", [64, 2])
 @pytest.mark.parametrize("data", [rows(), lively(), lively(seed=7)])
 def test_near_dedup(spark, data, small, monkeypatch):
@@ -125,6 +139,13 @@ def brute_leaks(docs, items):
         for i, s in held:
             if s and 100 * len(s & own) >= 75 * len(s):
                 out[(r[0], i, len(s), len(s & own))] += 1
+        # items of one to four words in a row inside a longer text
+        w = word.findall((r[1] or "").lower())
+        for i, t in items:
+            few = word.findall((t or "").lower())
+            if 0 < len(few) < 5 and len(w) > len(few) and any(w[k:k + len(few)] == few for k in range(len(w))):
+                if not shingles(few) <= shingles(w):
+                    out[(r[0], i, 1, 1)] += 1
     return out
 
 
@@ -138,6 +159,34 @@ def test_decontaminate(spark, block):
     assert Counter(tuple(r)[:4] for r in got.collect()) == brute_leaks(docs, items)
 
 
+@pytest.mark.parametrize("block", [500_000, 5])
+def test_short_items_inside_long_texts(spark, block):
+    docs = rows() + lively(20)
+    first = lively(20)[2][1].split()
+    items = [(1, first[7]), (2, " ".join(first[30:33]).upper()), (3, "one, two; three"), (4, "one two three four"), (5, "e f g h"), (6, "THE"), (7, "the"), (7, "the"),
+             (None, "the of"), (9, "!!!"), (10, "h a"), (11, "no such words"), (12, " ".join(first[20:60]))]
+    table_of = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(table(spark, docs), table_of, block_shingles=block)
+    want = brute_leaks(docs, items)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == want
+    assert {i for _, i, _, _ in want} >= {1, 2, 3, 5, 6, 7, None, 10, 12}
+    # the stage drops texts of just a short item's words, and whole leaks
+    word = re.compile("[a-z0-9\x80-\U0010ffff]+")
+    bare = {tuple(word.findall((t or "").lower())) for _, t in items} - {()}
+    held = shingles(word.findall(items[-1][1].lower()))
+    clean = [r for r in docs if tuple(w := word.findall((r[1] or "").lower())) not in bare and 100 * len(held & shingles(w)) < 75 * len(held)]
+    out = decontaminate.without_leaks(table(spark, docs), table_of, block_shingles=block)
+    assert Counter(map(tuple, out.collect())) == Counter(clean)
+
+
+def test_copies_of_an_item_are_one_text_of_a_block(spark):
+    items = spark.createDataFrame([(i, "a b c d e f g h") for i in range(300)] + [(300 + i, "") for i in range(50)] + [(400, "q r s t u v")], "item_id long, text string")
+    blocks = [b.value for b in decontaminate.item_blocks(items, 75, 500)]
+    assert [len(b["items"]) for b in blocks] == [2]
+    docs = spark.createDataFrame([(1, "x a b c d e f g h y"), (2, "nothing of it")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()) == [(1, i) for i in range(300)]
+
+
 def test_decontaminate_without_rows(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(table(spark), none).count() == 0
