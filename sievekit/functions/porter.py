@@ -6,10 +6,11 @@ stemmer applies by default (short words kept, a few irregular forms, ``ies`` /
 
 The rules are a table compiled into ``CASE`` expressions over two columns: the
 word, and its mask of consonants and vowels (``c`` / ``v``), in which the measure
-of a stem is the number of ``vc``. They run on distinct words (``operators.prep``
-joins the stems back), so a word is stemmed once however often it occurs. The
-expressions use functions that Spark and DuckDB share; only the mask is written
-for each of them.
+of a stem is the number of ``vc``. They run on the distinct words that are found
+often (``operators.prep`` joins their stems back) and on the others where they
+stand. The expressions use functions that Spark and DuckDB share; only the mask is
+written for each of them. Spark tests a step's endings first, so that a word has
+its mask made in the few steps that can change it.
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
 # ---------------------------------------------------------------------------
 
 _KIND = "CASE WHEN {c} IN ('a', 'e', 'i', 'o', 'u') THEN 'v' WHEN {c} = 'y' AND right({a}, 1) = 'c' THEN 'v' ELSE 'c' END"
-SPARK_MASK = "aggregate(regexp_extract_all({w}, '(?s).', 0), '', (a, c) -> a || " + _KIND.format(a="a", c="c") + ")"
+# ``y`` is a vowel after a consonant; only in a run of them does one hang on the one before
+_BY_LETTER = "aggregate(regexp_extract_all({w}, '(?s).', 0), '', (a, c) -> a || " + _KIND.format(a="a", c="c") + ")"
+_PLAIN = "translate(regexp_replace({w}, '[^aeiouy]', 'c'), 'aeiou', 'vvvvv')"
+SPARK_MASK = ("CASE WHEN NOT contains({w}, 'y') THEN " + _PLAIN + " WHEN contains({w}, 'yy') THEN " + _BY_LETTER
+              + " ELSE replace(replace(regexp_replace(" + _PLAIN + ", '^y', 'c'), 'cy', 'cv'), 'y', 'c') END")
 DUCK_MASK = "list_reduce(list_concat([''], regexp_extract_all({w}, '(?s).', 0)), lambda a, c: a || " + _KIND.format(a="a", c="c") + ")"
 
 
@@ -96,6 +101,8 @@ STEPS = (
     _case([(f"{_ends('e')} AND ({_vc(_cut(1, 'm'))} > 2 OR ({_vc(_cut(1, 'm'))} = 2 AND NOT {_short_end(_cut(1, 'w'), _cut(1, 'm'))}))", _cut(1, "w"))]),
     _case([(f"{_ends('ll')} AND {_vc(_cut(1, 'm'))} > 2", _cut(1, "w"))]),
 )
+#: The endings that a word needs for each step to change it.
+STEP_ENDS = (("s",), ("ed", "ing"), ("y",), ("alli",), ("logi", *(s for s, _ in STEP2)), tuple(s for s, _ in STEP3), STEP4, ("e",), ("ll",))
 #: The word's own rule: irregular forms, and words of one or two letters.
 FINAL = "CASE " + " ".join(f"WHEN tok = '{k}' THEN '{v}'" for k, v in IRREGULAR.items()) + " WHEN length(tok) <= 2 THEN tok ELSE w END"
 
@@ -106,12 +113,28 @@ def _let(name: str, value: str, then: str) -> str:
     return f"get(transform(array({value}), {name} -> {then}), 0)"
 
 
+def _has_end(name: str, ends) -> str:
+    return f"{name} RLIKE '(?:{'|'.join(ends)})$'"
+
+
+def may_change(col: str):
+    """False for words that no rule changes, by their length and last letter
+    (that of an ending of the steps; the irregular forms have one each)."""
+    last = {e[-1] for step in STEP_ENDS for e in step} | {w[-1] for w in IRREGULAR}
+    return (F.length(col) > 2) & F.right(F.col(col), F.lit(1)).isin(sorted(last))
+
+
+def stem_of(col: str):
+    """The stem of a lower-case word."""
+    value = "tok"
+    for step, ends in zip(STEPS, STEP_ENDS):
+        value = _let("w", value, f"CASE WHEN {_has_end('w', ends)} THEN {_let('m', SPARK_MASK.format(w='w'), step)} ELSE w END")
+    return F.expr(_let("tok", f"`{col}`", _let("w", value, FINAL)))
+
+
 def stem_words(words: DataFrame, col: str = "tok", out: str = "stem") -> DataFrame:
     """``words`` (one row per distinct lower-case word) with its stem."""
-    value = "tok"
-    for step in STEPS:
-        value = _let("w", value, _let("m", SPARK_MASK.format(w="w"), step))
-    return words.withColumn(out, F.expr(_let("tok", f"`{col}`", _let("w", value, FINAL))))
+    return words.withColumn(out, stem_of(col))
 
 
 def stem_ctes(source: str, name: str = "stems") -> str:

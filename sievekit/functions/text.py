@@ -136,8 +136,8 @@ def _split_word_steps() -> list[tuple[str, str]]:
 
 TREEBANK_STEPS = _treebank_steps()
 SPLIT_WORD_STEPS = _split_word_steps()
-# cheap literal pre-check (native substring search): the word rules only
-# run on texts that contain one of the words
+# cheap literal pre-check (native substring search): a word's rule only
+# runs on texts that contain the word
 SPLIT_WORDS = tuple(w for w, _ in TREEBANK_SPLIT_WORDS)
 
 
@@ -160,14 +160,17 @@ def _let(value: Column, body) -> Column:
 
 
 def _split_words(s: Column) -> Column:
-    w = s
-    for pat, rep in SPLIT_WORD_STEPS:
-        w = F.regexp_replace(w, pat, rep)
-    guard = None
-    for word in SPLIT_WORDS:
-        g = F.contains(s, F.lit(word))
-        guard = g if guard is None else guard | g
-    return F.when(guard, w).otherwise(s)
+    def split(word, steps):
+        return lambda w: F.when(F.contains(w, F.lit(word)), _replaced(w, steps)).otherwise(w)
+    for i, word in enumerate(SPLIT_WORDS):
+        s = _let(s, split(word, SPLIT_WORD_STEPS[2 * i:2 * i + 2]))
+    return s
+
+
+def _replaced(s: Column, steps) -> Column:
+    for pat, rep in steps:
+        s = F.regexp_replace(s, pat, rep)
+    return s
 
 
 def tokenize_words_sql(x: str) -> str:

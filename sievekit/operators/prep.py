@@ -191,20 +191,21 @@ def plural_lemma_table(df: DataFrame, tokens_col: str) -> DataFrame:
 
 
 def lemmatize_join(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: str = "message_id",
-                   bound_rows: int | None = None) -> DataFrame:
+                   bound_rows: int | None = None, otherwise=None) -> DataFrame:
     """Replace each token by its lemma (unknown tokens stay), keeping
     token order. Tokens are exploded with their position and looked up with
     a broadcast join when the dictionary has a proven bound, else a join
     salted on (id, position) so a hot token spreads over many tasks; the
     array is rebuilt per message (a message is one row, so its group is
-    bounded by its own length)."""
+    bounded by its own length). ``otherwise``: the lemma of a token ``form`` that
+    the dictionary has not got (by default the token)."""
     from .joins import lookup_join
     toks = df.select(id_col, F.posexplode(tokens_col).alias("_pos", "form"))
     key_rows = "rows" if "rows" in lemmas.columns else None
     j = lookup_join(toks, lemmas, ["form"], "left", bound_rows=bound_rows,
                     salt_from=F.xxhash64(id_col, "_pos"), key_rows=key_rows)
     rebuilt = (j.groupBy(id_col)
-               .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form")
+               .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("lemma", "form" if otherwise is None else otherwise)
                                                          .alias("_t")))).alias("_a"))
                .select(id_col, F.transform("_a", lambda s: s["_t"]).alias(tokens_col)))
     return df.drop(tokens_col).join(rebuilt, id_col, "left").withColumn(
@@ -213,16 +214,34 @@ def lemmatize_join(df: DataFrame, tokens_col: str, lemmas: DataFrame, id_col: st
 
 # -- T14 relational form ---------------------------------------------------------------------
 
-def stem_table(df: DataFrame, tokens_col: str) -> DataFrame:
-    """(form, lemma, rows): the distinct tokens that stemming changes, with
-    their stem and how often they occur. The vocabulary is a partial aggregate;
-    each word is stemmed once, by column expressions."""
-    from ..functions.porter import stem_words
-    vocab = df.select(F.explode(tokens_col).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("rows"))
-    return stem_words(vocab, "form", "lemma").where(F.col("form") != F.col("lemma")).select("form", "lemma", "rows")
+# Most words whose stems are broadcast; the rarer ones are stemmed where they stand.
+STEM_TABLE_ROWS = 500_000
 
 
-def stem_join(df: DataFrame, tokens_col: str, id_col: str = "message_id") -> DataFrame:
-    """Every token replaced by its stem, order kept; hot words are salted
-    by their counts. ``df`` is read three times: give it as a written stage."""
-    return lemmatize_join(df, tokens_col, stem_table(df, tokens_col), id_col)
+def stem_table(df: DataFrame, tokens_col: str, most: int = STEM_TABLE_ROWS) -> DataFrame:
+    """(form, lemma) of the most frequent distinct tokens that a rule may change,
+    at most ``most`` of them. The vocabulary is a partial aggregate, written once;
+    the cut is a power of two of the counts, found from one row per power."""
+    from ..functions.porter import may_change, stem_words
+    from ..sources.stage import checkpoint_stage
+    forms = df.select(F.explode(tokens_col).alias("form")).where(may_change("form"))
+    vocab = checkpoint_stage(forms.groupBy("form").agg(F.count(F.lit(1)).alias("rows")), "vocabulary")
+    power = F.floor(F.log2("rows")).cast("int")
+    left, cut = most, 0
+    for r in vocab.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("p")).toLocalIterator():
+        if r.n > left:
+            cut = r.p + 1
+            break
+        left -= r.n
+    # spread by a count of its own: a small file would be one task's
+    words = vocab.where(power >= cut).select("form").repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return stem_words(words, "form", "lemma")
+
+
+def stem_join(df: DataFrame, tokens_col: str, id_col: str = "message_id", most: int = STEM_TABLE_ROWS) -> DataFrame:
+    """Every token replaced by its stem, order kept: that of a frequent word
+    from a broadcast table of bounded size, so tokens are not shuffled by word.
+    ``df`` is read three times: give it as a written stage."""
+    from ..functions.porter import may_change, stem_of
+    rare = F.when(may_change("form"), stem_of("form")).otherwise(F.col("form"))
+    return lemmatize_join(df, tokens_col, stem_table(df, tokens_col, most), id_col, bound_rows=most, otherwise=rare)

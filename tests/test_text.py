@@ -96,6 +96,24 @@ def test_stems_equal_the_plain_stemmer(spark):
     assert _stems(spark, words) == {w: stem_word(w) for w in words}
 
 
+def test_stems_of_frequent_words_are_broadcast_and_rare_ones_made_in_place(spark):
+    rows = [(1, ["running", "prizes", "the", "happy"]), (2, ["running", "skies", "prizes"]), (3, ["running", "boyyying", "x1"]), (4, [])]
+    df = spark.createDataFrame(rows, "message_id long, tokens array<string>")
+    table = {r.form: r.lemma for r in P.stem_table(df, "tokens", most=2).collect()}
+    assert table == {"running": "run", "prizes": "prize"}
+    want = {i: [stem_word(t) for t in ts] for i, ts in rows}
+    for most in (0, 2, 100):
+        out = P.stem_join(df, "tokens", most=most)
+        assert {r.message_id: r.tokens for r in out.collect()} == want
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [form" in plan and "SortMergeJoin [form" not in plan   # tokens are not shuffled by word
+
+
+def test_split_words_of_one_text(spark):
+    assert one(spark, "I cannot, cannot go; gonna 'tis wannabe gotta more'n", T.tokenize_words) == [
+        "I", "can", "not", ",", "can", "not", "go", ";", "gon", "na", "'t", "is", "wannabe", "got", "ta", "more", "'n"]
+
+
 def test_vectorizer_tokens(spark):
     assert one(spark, "A bc DEF_1 é x9", T.vectorizer_tokens) == ["bc", "def_1", "x9"]
 
