@@ -62,3 +62,8 @@ def test_release_joins_by_the_known_number_of_features(spark, monkeypatch):
     got = QUERIES["release_confusion"](spark, SF_SMALL)
     assert len(bounds) == 1 and 3 < bounds[0] <= 3003
     assert sorted(r["count"] for r in got.collect()) == sorted(r["count"] for r in PL.flagship(spark, SF_SMALL, 42).collect())
+
+
+def test_forest_statistics_of_four_tasks_fit_an_executor():
+    from sievekit.operators import mllib as ML
+    assert 4 * ML.candidates(1000)["Random Forest"].getMaxMemoryInMB() <= 1024
