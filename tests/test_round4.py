@@ -64,6 +64,6 @@ def test_release_joins_by_the_known_number_of_features(spark, monkeypatch):
     assert sorted(r["count"] for r in got.collect()) == sorted(r["count"] for r in PL.flagship(spark, SF_SMALL, 42).collect())
 
 
-def test_forest_statistics_of_four_tasks_fit_an_executor():
+def test_forest_statistics_of_four_tasks_fit_an_executor(spark):
     from sievekit.operators import mllib as ML
     assert 4 * ML.candidates(1000)["Random Forest"].getMaxMemoryInMB() <= 1024
